@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, langid, packing, pii, url_filter, warc
+from . import bitpack, decontaminate, langid, ngram_join, packing, pii, url_filter, warc
 
 PII_KEY = "a key of the deployment"  # callers pass their own secret
 
@@ -43,6 +43,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links of each document."""
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
