@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, html_extract, langid, ngram_join, packing, pii, url_filter, warc
+from . import audio, bitpack, decontaminate, html_extract, langid, ngram_join, packing, pii, url_filter, warc
 
 PII_KEY = "a key of the deployment"  # callers pass their own secret
 
@@ -63,6 +63,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_query
+def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, class_id, is_query, match_class, offset, bit_error, frames: each vector of ``embeddings`` as a recording."""
+    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.tones)
+    return audio.search(prints).withColumnRenamed("id", "vec_id")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
