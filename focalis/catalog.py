@@ -1,6 +1,550 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import items as I
+from .functions.text import sentence_pattern, stripped
+from .operators import datasets, evaluate, features, lookup, mining, paths, reshape
+from .plans import sweep
+from .sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SUPPORT, CONFIDENCE, K = 100, 0.2, 3
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- order lines as transactions: conditions are return flag, line status, order status and line number, the decision is the priority
+
+CONDITIONS = ["l_returnflag", "l_linestatus", "o_orderstatus", "l_linenumber"]
+DECISION = "o_orderpriority"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return rows.join(orders, rows["l_orderkey"] == orders["o_orderkey"]).drop("o_orderkey")
+
+
+def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.transactions(lines(spark, sf_dir), None, [*CONDITIONS, DECISION], [DECISION])
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """Antecedent and decision as text, so that all engines hash them alike."""
+    out = df.withColumn("antecedent", I.label(F.col("antecedent")))
+    if "decision" in df.columns:
+        out = out.withColumn("decision", F.concat_ws("=", "decision.name", "decision.value"))
+    return out
+
+
+LINES = """
+lines AS (
+    SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, o_orderstatus, o_orderpriority, o_orderdate
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+TRANSACTIONS = (
+    LINES
+    + """,
+tx AS (
+    SELECT ['l_linenumber=' || l_linenumber, 'l_linestatus=' || l_linestatus, 'l_returnflag=' || l_returnflag, 'o_orderstatus=' || o_orderstatus] AS c,
+        'o_orderpriority=' || o_orderpriority AS d, count(*) AS w
+    FROM lines GROUP BY ALL
+),
+sub AS (
+    SELECT array_to_string(list_filter(c, lambda x, i: (m >> (i - 1)) & 1 = 1), '|') AS antecedent,
+        len(list_filter(c, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS k, c, d, w
+    FROM tx, range(1, 16) r(m)
+),
+na AS (SELECT antecedent, any_value(k) AS k, sum(w)::BIGINT AS n_a FROM sub GROUP BY 1),
+nad AS (SELECT antecedent, d AS decision, sum(w)::BIGINT AS n_ad FROM sub GROUP BY 1, 2),
+total AS (SELECT sum(w)::BIGINT AS n FROM tx),
+pairs AS (SELECT antecedent, decision, n_ad, n_a, n, k, n_ad / n AS support, n_ad / n_a AS confidence FROM nad JOIN na USING (antecedent), total)"""
+)
+RULES = TRANSACTIONS + f",\nrules AS (SELECT * FROM pairs WHERE n_ad > {SUPPORT} AND n_a > {SUPPORT} AND confidence > {CONFIDENCE})"
+
+
+@_query(
+    f"""WITH {LINES}
+SELECT l_orderkey, name, value FROM lines, LATERAL (VALUES ('l_returnflag', l_returnflag), ('l_linestatus', l_linestatus), ('o_orderstatus', o_orderstatus), ('l_linenumber', l_linenumber::VARCHAR), ('o_orderpriority', o_orderpriority)) v(name, value)
+WHERE value IS NOT NULL"""
+)
+def txn_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("_n", F.col("l_linenumber"))
+    return reshape.unpivot(rows, ["l_orderkey"], ["l_returnflag", "l_linestatus", "o_orderstatus", "_n", "o_orderpriority"]).select(
+        "l_orderkey", F.when(F.col("name") == "_n", "l_linenumber").otherwise(F.col("name")).alias("name"), "value"
+    )
+
+
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ord, name, value: what is known of a document, the language twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    first = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), x.alias("value")) for i, n, x in ((0, "SENTENCE_LANG", F.upper("lang")), (1, "SENTENCE_SOURCE", F.col("source")), (2, "SENTENCE_LANG", F.col("lang")))))))
+    more = labels.select("doc_id", F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for i, n, c in ((3, "QUESTION_QUALITY", "quality"), (4, "SAME_QS_WORD", "toxic"))))))
+    return first.unionByName(more).filter("value is not null")
+
+
+RECORDS = """
+records AS (
+    SELECT doc_id, ord, name, value FROM (
+        SELECT doc_id, 0 AS ord, 'SENTENCE_LANG' AS name, upper(lang) AS value FROM documents
+        UNION ALL SELECT doc_id, 1, 'SENTENCE_SOURCE', source FROM documents
+        UNION ALL SELECT doc_id, 2, 'SENTENCE_LANG', lang FROM documents
+        UNION ALL SELECT doc_id, 3, 'QUESTION_QUALITY', quality::VARCHAR FROM labels
+        UNION ALL SELECT doc_id, 4, 'SAME_QS_WORD', toxic::VARCHAR FROM labels
+    ) WHERE value IS NOT NULL
+)"""
+
+
+@_query(
+    f"""WITH {RECORDS}, last AS (SELECT doc_id, name, value FROM records QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY ord DESC, value DESC) = 1)
+SELECT doc_id, max(value) FILTER (name = 'QUESTION_QUALITY') AS "QUESTION_QUALITY", max(value) FILTER (name = 'SAME_QS_WORD') AS "SAME_QS_WORD",
+    max(value) FILTER (name = 'SENTENCE_LANG') AS "SENTENCE_LANG", max(value) FILTER (name = 'SENTENCE_SOURCE') AS "SENTENCE_SOURCE"
+FROM last GROUP BY doc_id"""
+)
+def txn_pivot_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.pivot_last_wins(document_records(spark, sf_dir), "doc_id")
+
+
+@_query(f"""WITH {RECORDS} SELECT name, CASE WHEN contains(name, 'QUESTION') OR name IN ('SAME_QS_WORD', 'SAME_DEPENDENCY', 'DEPENDENCY_PATH') THEN 'D' ELSE 'C' END AS kind, count(*) AS n FROM records GROUP BY 1, 2""")
+def item_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_records(spark, sf_dir).groupBy("name", I.kind(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+DICTIONARY = RECORDS + ", strings AS (SELECT DISTINCT unnest([name, value]) AS str FROM records), words AS (SELECT str, row_number() OVER (ORDER BY encode(str)) - 1 AS id FROM strings)"
+
+
+@_query(f"WITH {DICTIONARY} SELECT str, id FROM words")
+def item_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.dictionary(document_records(spark, sf_dir))
+
+
+@_query(f"WITH {DICTIONARY} SELECT n.id AS name_id, v.id AS value_id, count(*) AS n FROM records JOIN words n ON name = n.str JOIN words v ON value = v.str GROUP BY 1, 2")
+def item_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = document_records(spark, sf_dir)
+    return reshape.encode(records, reshape.dictionary(records)).groupBy("name_id", "value_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {RECORDS} SELECT name, value, count(*) AS n FROM records GROUP BY 1, 2")
+def item_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = document_records(spark, sf_dir)
+    words = reshape.dictionary(records)
+    return reshape.decode(reshape.encode(records, words), words).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {RECORDS} SELECT '(''' || name || ''', ''' || value || ''')' AS item, name, value, count(*) AS n FROM records GROUP BY name, value")
+def item_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = document_records(spark, sf_dir).groupBy(I.item_text(F.struct("name", "value")).alias("item")).agg(F.count("*").alias("n"))
+    return shown.withColumn("p", I.parse_item(F.col("item"))).select("item", "p.name", "p.value", "n")
+
+
+# --- mining
+
+
+@_query(f"WITH {TRANSACTIONS} SELECT antecedent, n_a AS n, count(*) AS n_decisions FROM pairs GROUP BY 1, 2")
+def itemset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(mining.itemset_counts(line_transactions(spark, sf_dir)))
+
+
+@_query(f"WITH {TRANSACTIONS} SELECT antecedent, n_a AS n FROM na WHERE n_a > {SUPPORT}")
+def frequent_antecedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(mining.frequent_antecedents(line_transactions(spark, sf_dir), SUPPORT))
+
+
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.mine_rules(line_transactions(spark, sf_dir), SUPPORT, CONFIDENCE)
+
+
+@_query(f"WITH {RULES} SELECT antecedent, decision, n_ad, n_a, support, confidence FROM rules")
+def rules_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(line_rules(spark, sf_dir)).select("antecedent", "decision", "n_ad", "n_a", "support", "confidence")
+
+
+@_query(
+    """WITH tx AS (
+    SELECT list_filter(['lang=' || lang, 'source=' || source], lambda x: x IS NOT NULL) AS c, list_filter(['quality=' || quality, 'toxic=' || toxic], lambda x: x IS NOT NULL) AS d, count(*) AS w
+    FROM documents JOIN labels USING (doc_id) GROUP BY ALL
+), sub AS (SELECT array_to_string(list_filter(c, lambda x, i: (m >> (i - 1)) & 1 = 1), '|') AS antecedent, d, w FROM tx, range(1, 4) r(m)),
+na AS (SELECT antecedent, sum(w)::BIGINT AS n_a FROM sub GROUP BY 1),
+one AS (SELECT antecedent, unnest(d) AS decision, w AS n_ad FROM sub)
+SELECT antecedent, decision, sum(n_ad)::BIGINT AS n_ad, any_value(n_a) AS n_a, sum(n_ad) / any_value(n_a) AS confidence FROM one JOIN na USING (antecedent)
+GROUP BY 1, 2 HAVING sum(n_ad) > 5 AND any_value(n_a) > 5 AND sum(n_ad) / any_value(n_a) > 0.3"""
+)
+def rules_multi_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    found = mining.mine_rules(reshape.transactions(rows, None, ["lang", "source", "quality", "toxic"], ["quality", "toxic"]), 5, 0.3)
+    return labelled(found).select("antecedent", "decision", "n_ad", "n_a", "confidence")
+
+
+@_query(f"WITH {RULES} SELECT antecedent, decision, n_ad, n_a, n FROM rules")
+def rules_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of early and late orders, merged."""
+    rows = lines(spark, sf_dir)
+    halves = [rows.filter(F.col("o_orderdate") < "1995-07-01"), rows.filter((F.col("o_orderdate") >= "1995-07-01") | F.col("o_orderdate").isNull())]
+    counts = [mining.rule_counts(reshape.transactions(h, None, [*CONDITIONS, DECISION], [DECISION])) for h in halves]
+    return labelled(mining.rules(mining.merged_counts(*counts), SUPPORT, CONFIDENCE)).select("antecedent", "decision", "n_ad", "n_a", "n")
+
+
+# --- lookup: the distinct condition sets of all lines are the sentences, each with its weight
+
+
+def line_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id (the set as text), c, gold, w: every condition set with every priority that it has."""
+    rows = mining.compact(line_transactions(spark, sf_dir))
+    return rows.select(I.label(F.col("c")).alias("sent_id"), "c", F.col("d")[0].alias("gold"), "w")
+
+
+def line_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_sentences(spark, sf_dir).select("sent_id", "c").distinct()
+
+
+def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id, item, word, pos: each priority stands for its name and its number."""
+    item = F.col("gold")
+    words = F.array(F.lower(F.substring_index(item["value"], "-", -1)), F.substring_index(item["value"], "-", 1))
+    known = line_sentences(spark, sf_dir).select(item.alias("item"), F.posexplode(words).alias("pos", "word")).distinct()
+    return _candidates_of(line_sets(spark, sf_dir), known)
+
+
+def _candidates_of(sentences: DataFrame, known: DataFrame) -> DataFrame:
+    """All sentences share the few candidate words of the priorities, folded into one array."""
+    held = known.agg(F.array_sort(F.collect_list(F.struct("item", "word", "pos")))).scalar()
+    return sentences.select("sent_id", F.inline(held)).select("sent_id", "item", "word", "pos")
+
+
+SENTENCES = RULES + ",\nsents AS (SELECT DISTINCT array_to_string(c, '|') AS sent_id, c FROM tx)"
+MATCHES = SENTENCES + ",\nfired AS (SELECT sent_id, antecedent, decision, confidence, support, n_ad, n_a, n FROM sents, rules WHERE list_has_all(c, string_split(antecedent, '|')))"
+WORDS = (
+    MATCHES
+    + """,
+best AS (SELECT sent_id, decision, max(round(confidence::DECIMAL(38, 20), 10)::DOUBLE * round(support::DECIMAL(38, 20), 10)::DOUBLE) AS score FROM fired GROUP BY 1, 2),
+ranked AS (SELECT sent_id, decision, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, decision DESC) AS rank FROM best),
+cand AS (SELECT sent_id, rank, unnest([{'word': lower(string_split(split_part(decision, '=', 2), '-')[-1]), 'pos': 0}, {'word': split_part(split_part(decision, '=', 2), '-', 1), 'pos': 1}], recursive := true) FROM ranked),
+firsts AS (SELECT sent_id, word, min(rank * 10 + pos) AS place FROM cand GROUP BY 1, 2),
+words AS (SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY place, word) AS rank, word FROM firsts)"""
+)
+
+
+@_query(f"WITH {RULES} SELECT unnest(string_split(antecedent, '|')) AS item, antecedent, decision, k::INTEGER AS k, confidence, support FROM rules")
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(lookup.postings(line_rules(spark, sf_dir))).withColumn("item", F.concat_ws("=", "item.name", "item.value"))
+
+
+@_query(f"WITH {MATCHES} SELECT sent_id, antecedent, decision, confidence, support FROM fired")
+def rule_match_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(lookup.match_by_counting(line_sets(spark, sf_dir), line_rules(spark, sf_dir))).select("sent_id", "antecedent", "decision", "confidence", "support")
+
+
+@_query(ORACLE_SQL["rule_match_counting"])
+def rule_match_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(lookup.match_by_containment(line_sets(spark, sf_dir), line_rules(spark, sf_dir))).select("sent_id", "antecedent", "decision", "confidence", "support")
+
+
+@_query(f"WITH {MATCHES} SELECT sent_id, antecedent, decision, confidence FROM fired QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY confidence DESC, len(string_split(antecedent, '|')) DESC, antecedent DESC, decision DESC) = 1")
+def best_rule_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(lookup.best_by_confidence(lookup.match_by_counting(line_sets(spark, sf_dir), line_rules(spark, sf_dir))))
+
+
+@_query(f"WITH {WORDS} SELECT sent_id, rank::INTEGER AS rank, word FROM words WHERE rank <= {K}")
+def topk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = lookup.match_by_counting(line_sets(spark, sf_dir), line_rules(spark, sf_dir))
+    return lookup.top_words(matches, line_candidates(spark, sf_dir), K)
+
+
+@_query(f"WITH {WORDS}, lists AS (SELECT sent_id, string_agg(word, ',' ORDER BY rank) AS words FROM words WHERE rank <= {K} GROUP BY 1) SELECT sent_id, coalesce(words, '') AS words FROM sents LEFT JOIN lists USING (sent_id)")
+def query_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.query(line_sets(spark, sf_dir), line_rules(spark, sf_dir), line_candidates(spark, sf_dir), K)
+    return found.withColumn("words", F.array_join("words", ","))
+
+
+GOLD = ",\ngold AS (SELECT array_to_string(c, '|') || '#' || d AS gold_id, array_to_string(c, '|') AS sent_id, lower(string_split(d, '-')[-1]) AS gold, w FROM tx), hit AS (SELECT gold_id, w, (SELECT min(rank) FROM words WHERE words.sent_id = gold.sent_id AND word = gold) AS hit FROM gold)"
+
+
+def _accuracy_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences with a row and weight for each gold word, and their predictions."""
+    gold = line_sentences(spark, sf_dir).select("sent_id", F.lower(F.substring_index(F.col("gold.value"), "-", -1)).alias("word"), "w")
+    words = topk_words(spark, sf_dir)
+    return gold, words
+
+
+@_query(f"WITH {WORDS}{GOLD} SELECT k::INTEGER AS k, sum(w)::BIGINT AS total, sum(CASE WHEN hit <= k THEN w ELSE 0 END)::BIGINT AS correct, sum(CASE WHEN hit <= k THEN w ELSE 0 END) / sum(w) AS accuracy FROM hit, range(1, {K + 1}) r(k) GROUP BY k")
+def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, words = _accuracy_inputs(spark, sf_dir)
+    return evaluate.cumulative_accuracy(words, gold, K)
+
+
+@_query(f"WITH {WORDS} SELECT sent_id, r.rank::INTEGER AS rank, coalesce(word, '') AS word FROM (SELECT sent_id, unnest(range(1, {K + 1})) AS rank FROM sents) r LEFT JOIN words USING (sent_id, rank)")
+def padded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.padded(topk_words(spark, sf_dir), line_sets(spark, sf_dir), K)
+
+
+GRID = sweep.Grid((50, 150, 50), (10, 30, 5), K)
+
+
+@_query(
+    f"""WITH {TRANSACTIONS}
+SELECT s AS min_support, c / 100 AS min_confidence, count(*) AS n_rules, sum(n_ad)::BIGINT AS sum_n_ad
+FROM pairs, (SELECT unnest([50, 100, 150])::BIGINT AS s) gs, (SELECT unnest([10, 15, 20, 25, 30]) AS c) gc WHERE n_ad > s AND n_a > s AND confidence > c / 100 GROUP BY 1, 2"""
+)
+def grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sweep.swept_rules(mining.rule_counts(line_transactions(spark, sf_dir), 50), GRID.cells())
+    return found.groupBy("min_support", "min_confidence").agg(F.count("*").alias("n_rules"), F.sum("n_ad").alias("sum_n_ad"))
+
+
+@_query()
+def sweep_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, _ = _accuracy_inputs(spark, sf_dir)
+    counts = mining.rule_counts(line_transactions(spark, sf_dir), 50)
+    return sweep.report(sweep.swept_accuracy(counts, GRID.cells(), line_sets(spark, sf_dir), line_candidates(spark, sf_dir), gold, K))
+
+
+@_query()
+def timing_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = mining.rule_counts(line_transactions(spark, sf_dir), 50)
+    return sweep.timed_lookup(counts, [(50, 0.2), (150, 0.2)], line_sets(spark, sf_dir))
+
+
+@_query(
+    """WITH w AS (SELECT c_mktsegment AS word, c_nationkey AS sent_id, list_sort(list_distinct(list(CASE WHEN c_acctbal > 0 THEN 'plus' ELSE 'minus' END))) AS items FROM customer GROUP BY ALL),
+u AS (SELECT s_nationkey AS sent_id, list_sort(list_distinct(list(CASE WHEN s_acctbal > 0 THEN 'plus' ELSE 'minus' END))) AS usable FROM supplier GROUP BY ALL),
+g AS (SELECT sent_id, items, string_agg(word, ',' ORDER BY word) AS words FROM w GROUP BY ALL)
+SELECT sent_id, array_to_string(items, '|') AS items, words, len(list_intersect(items, usable)) / len(items) AS share,
+    row_number() OVER (PARTITION BY sent_id ORDER BY len(items) DESC, array_to_string(items, '|'))::INTEGER AS rank
+FROM g JOIN u USING (sent_id) WHERE len(list_intersect(items, usable)) / len(items) > 0.21"""
+)
+def overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = lambda c: F.array_sort(F.collect_set(F.struct(F.lit("").alias("name"), F.when(F.col(c) > 0, "plus").otherwise("minus").alias("value"))))
+    words = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sent_id"), F.col("c_mktsegment").alias("word")).agg(sign("c_acctbal").alias("items"))
+    usable = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("sent_id")).agg(sign("s_acctbal").alias("items"))
+    found = lookup.overlap_match(words, usable)
+    return found.select("sent_id", F.array_join(F.transform("items", lambda x: x["value"]), "|").alias("items"), F.array_join("words", ",").alias("words"), "share", "rank")
+
+
+# --- data sets
+
+
+@_query("""SELECT c_custkey AS o_custkey, 'F' AS o_orderstatus, max(o_orderkey) AS row_idx FROM customer JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY ALL""")
+def subset_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = table(spark, sf_dir, "orders").withColumn("row_idx", F.col("o_orderkey"))
+    part = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit("F").alias("o_orderstatus"))
+    return datasets.keyed_subset(full, part, ["o_custkey", "o_orderstatus"])
+
+
+@_query("SELECT c_custkey AS o_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def unmatched_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    part = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return datasets.unmatched(part, orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'P'"), keys=["o_custkey"])
+
+
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx FROM orders")
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.numbered(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
+
+
+@_query(
+    """WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders)
+SELECT CASE WHEN i < total - total // 5 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM n GROUP BY 1"""
+)
+def head_tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = datasets.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    total = orders.count()
+    cut = total - total // 5
+    parts = datasets.head(orders, cut).withColumn("part", F.lit("train")).unionByName(datasets.tail(orders, cut).withColumn("part", F.lit("test")))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@_query(
+    """WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders),
+c AS (SELECT o_orderkey, (i - 280) // ((total - 280) // 10) AS chunk FROM n WHERE i >= 280)
+SELECT d::INTEGER AS dataset, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM c, range(1, 11) r(d) WHERE chunk < 10 AND d > chunk GROUP BY 1"""
+)
+def cumulative_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = datasets.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    shards = datasets.cumulative_shards(orders, 280, 10, orders.count())
+    return shards.groupBy("dataset").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM orders JOIN (SELECT c_custkey AS o_orderkey FROM customer UNION ALL SELECT c_custkey FROM customer) USING (o_orderkey)")
+def positional_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_orderkey"))
+    return datasets.gather(orders, places.unionAll(places), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@_query(
+    """WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders)
+SELECT 'left' AS side, o_orderstatus, count(*) AS n FROM (FROM a EXCEPT ALL FROM b) GROUP BY ALL UNION ALL SELECT 'right', o_orderstatus, count(*) FROM (FROM b EXCEPT ALL FROM a) GROUP BY ALL"""
+)
+def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    b = a.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus")))
+    return datasets.difference(a, b).groupBy("side", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@_query()
+def sample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty orders, the size of a sample being the feature."""
+    return datasets.sample_fixed(table(spark, sf_dir, "orders"), 20)
+
+
+@_query("SELECT event_id AS id, len(list_distinct(json_extract_string(props, '$.*')))::INTEGER AS n_items FROM events WHERE json_valid(props) AND len(json_keys(props)) > 0")
+def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties wrapped as cleaned entries and read back; what is no object is skipped."""
+    events = table(spark, sf_dir, "events")
+    held = F.from_json("props", "map<string,string>")
+    text = F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.map_values(held).alias("set"), F.transform_values(held, lambda k, v: F.array(v)).alias("dict")).alias("data")))
+    found = readers.parse_cleaned(events.select(text.alias("value")))
+    return found.filter(F.size("words") > 0).select("id", F.size("items").alias("n_items"))
+
+
+# --- features of conversations, their tokens by fixed rules
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    return rows.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("sent_id"), "text")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.rule_tokens(sentences(spark, sf_dir))
+
+
+SENTS = "sents AS (SELECT conv_id * 100000 + turn AS sent_id, text FROM conversations WHERE text IS NOT NULL)"
+TOKENS = (
+    SENTS
+    + r""",
+parts AS (SELECT sent_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS text, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1) AS idx FROM sents),
+toks AS (SELECT sent_id, idx, idx - 1 AS head, text, lower(text) AS low,
+    CASE WHEN lower(text) IN ('what', 'who') THEN 'WP' WHEN lower(text) = 'whose' THEN 'WP$' WHEN lower(text) = 'which' THEN 'WDT' WHEN lower(text) IN ('when', 'how', 'where') THEN 'WRB'
+        WHEN ends_with(lower(text), 'ed') THEN 'VBD' WHEN ends_with(lower(text), 'ing') THEN 'VBG' WHEN regexp_full_match(text, '\p{N}+') THEN 'CD' WHEN text <> lower(text) THEN 'NNP' ELSE 'NN' END AS xpos,
+    CASE WHEN idx = 1 THEN 'root' WHEN lower(text) IN ('the', 'a', 'an') THEN 'det' WHEN length(text) % 3 = 0 THEN 'nsubj' WHEN length(text) % 3 = 1 THEN 'obl:npmod' ELSE 'amod' END AS deprel
+    FROM parts),
+links AS (SELECT t.sent_id, t.idx AS ord, t.deprel || '_' || (row_number() OVER (PARTITION BY t.sent_id, t.deprel ORDER BY t.idx) - 1) AS rel, coalesce(h.text, t.text) AS head, t.text AS dep FROM toks t LEFT JOIN toks h ON t.sent_id = h.sent_id AND t.head = h.idx),
+rule AS (SELECT sent_id,
+    min_by({'w': text, 'p': xpos, 'r': 1}, idx) FILTER (idx = 1 AND starts_with(xpos, 'VB')) AS r1,
+    CASE WHEN bool_or(idx = 1 AND low = 'how') AND bool_or(idx = 2 AND low = 'many') THEN {'w': 'How many', 'p': min_by(xpos, idx), 'r': 2} END AS r2,
+    min_by({'w': text, 'p': xpos, 'r': 3}, idx) FILTER (low IN ('who', 'what', 'when', 'which', 'how', 'where', 'whose')) AS r3,
+    min_by({'w': text, 'p': xpos, 'r': 4}, idx) FILTER (starts_with(xpos, 'V')) AS r4,
+    min_by({'w': text, 'p': xpos, 'r': 5}, idx) FILTER (text = low AND text <> upper(text)) AS r5
+    FROM toks GROUP BY sent_id),
+struct_words AS (SELECT sent_id, c.w AS word, c.p AS pos, c.r::INTEGER AS rule FROM (SELECT sent_id, coalesce(r1, r2, r3, r4, r5) AS c FROM rule)),
+lasts AS (SELECT sent_id, max_by(text, idx) AS q FROM toks GROUP BY 1)"""
+)
+
+
+@_query(f"WITH {SENTS} SELECT sent_id, CASE WHEN ends_with(text, '?') THEN '疑问句' ELSE '陈述句' END AS pattern FROM sents")
+def sentence_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(spark, sf_dir).select("sent_id", sentence_pattern(F.col("text")).alias("pattern"))
+
+
+@_query(rf"WITH {SENTS} SELECT sent_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[!-/:-@\[-`{{-~]$', '') AS stripped FROM sents")
+def strip_trailing_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(spark, sf_dir).select("sent_id", stripped(F.col("text")).alias("stripped"))
+
+
+@_query(f"WITH {TOKENS} SELECT sent_id, word, pos, rule FROM struct_words")
+def structure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.structure_word(tokens(spark, sf_dir))
+
+
+@_query(f"WITH {TOKENS} SELECT sent_id, ord::INTEGER AS ord, rel, head, dep FROM links")
+def relation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.edges(tokens(spark, sf_dir))
+
+
+@_query(f"WITH {TOKENS} SELECT l.sent_id, ord::INTEGER AS ord, 'SENTENCE_' || replace(upper(rel), ':', '_') AS name, CASE WHEN head = w THEN '1' ELSE '2' END AS value FROM links l JOIN (SELECT sent_id, CASE WHEN word = 'How many' THEN 'How' ELSE word END AS w FROM struct_words) s ON l.sent_id = s.sent_id AND (head = w OR dep = w)")
+def edge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    words = features.structure_word(t).select("sent_id", features.located(F.col("word")).alias("word"))
+    return features.edge_positions(features.edges(t), words, "SENTENCE_")
+
+
+def last_words(t: DataFrame) -> DataFrame:
+    """The last token of each sentence, in the part of a gold word."""
+    return t.groupBy("sent_id").agg(F.max_by("text", F.struct("sub_sent", "idx")).alias("word"))
+
+
+@_query(
+    f"""WITH {TOKENS}, pairs AS (SELECT sent_id, word AS s, q FROM struct_words JOIN lasts USING (sent_id)),
+hit AS (SELECT l.sent_id, q, ord, replace(upper(rel), ':', '_') AS rel, q = head AND s = dep AS h, q = dep AND s = head AS d FROM links l JOIN pairs USING (sent_id))
+SELECT sent_id, q, ord::INTEGER AS ord, rel || '_1' AS value FROM hit WHERE h UNION ALL SELECT sent_id, q, ord::INTEGER, rel || '_2' FROM hit WHERE d"""
+)
+def direct_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    pairs = features.structure_word(t).select("sent_id", F.col("word").alias("s")).filter("s is not null").join(last_words(t).withColumnRenamed("word", "q"), "sent_id")
+    return features.direct_dependency(features.edges(t), pairs)
+
+
+@_query(f"WITH {TOKENS} SELECT l.sent_id, t.text AS word, t.xpos AS pos FROM (SELECT sent_id, lower(q) AS q FROM lasts) l JOIN toks t ON l.sent_id = t.sent_id AND t.low = l.q QUALIFY row_number() OVER (PARTITION BY l.sent_id ORDER BY t.idx) = 1")
+def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    return features.question_word(t, last_words(t))
+
+
+@_query(f"WITH {TOKENS} SELECT sent_id, q AS word, true AS ok FROM lasts JOIN sents USING (sent_id)")
+def gold_word_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of last words; each is a run of letters and digits, so each is found in its sentence."""
+    s = sentences(spark, sf_dir)
+    return features.validated_gold(s, last_words(features.rule_tokens(s))).select("sent_id", "word", "ok")
+
+
+@_query(
+    f"""WITH {TOKENS}, s AS (SELECT w.*, text FROM struct_words w JOIN sents USING (sent_id) WHERE word IS NOT NULL),
+c AS (
+    SELECT sent_id, 'SENTENCE_PATTERN' AS name, CASE WHEN ends_with(text, '?') THEN '疑问句' ELSE '陈述句' END AS value FROM s
+    UNION ALL SELECT sent_id, 'SENTENCE_STRUCTURE_WORD', CASE WHEN pos = 'VB' OR (contains(pos, 'V') AND lower(word) NOT IN ('who', 'what', 'when', 'which', 'how', 'where', 'whose', 'how many') AND NOT ends_with(text, '?')) THEN 'VB' ELSE word END FROM s
+    UNION ALL SELECT sent_id, 'SENTENCE_STRUCTURE_WORD_POS', pos FROM s
+    UNION ALL SELECT l.sent_id, 'SENTENCE_' || replace(upper(rel), ':', '_'), CASE WHEN head = w THEN '1' ELSE '2' END FROM links l JOIN (SELECT sent_id, CASE WHEN word = 'How many' THEN 'How' ELSE word END AS w FROM s) x ON l.sent_id = x.sent_id AND (head = w OR dep = w)
+)
+SELECT sent_id, name, value FROM c"""
+)
+def condition_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentences(spark, sf_dir)
+    t = features.rule_tokens(s)
+    return features.condition_features(s, features.edges(t), features.structure_word(t))
+
+
+@_query()
+def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentences(spark, sf_dir)
+    t = features.rule_tokens(s)
+    return features.training_table(s, t, last_words(t))
+
+
+@_query()
+def query_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sentences(spark, sf_dir)
+    _, candidates = features.query_table(s, features.rule_tokens(s))
+    return candidates.groupBy("item.name").agg(F.count("*").alias("n"), F.countDistinct("sent_id").alias("n_sentences"))
+
+
+@_query()
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    pairs = features.structure_word(t).filter("word is not null").select("sent_id", features.located(F.col("word")).alias("source")).join(last_words(t).withColumnRenamed("word", "target"), "sent_id")
+    return paths.shortest_paths(features.edges(t), pairs)
+
+
+@_query()
+def mined_by_fpgrowth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(mining.mine_with_fpgrowth(line_transactions(spark, sf_dir), SUPPORT, CONFIDENCE))
