@@ -32,7 +32,7 @@ ROUNDS = 8
 EPOCH, DAYS, LEFT, RIGHT = "1700-01-01", 146097, 189, 773
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,255}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/])"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 PHONE = (
@@ -41,9 +41,15 @@ PHONE = (
     r"|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
 )
 CARD = r"(?<![\d.+\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
-SECRET = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:token|passw(?:or)?d|secret|api_?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{12,512}"
+SECRET = (
+    r"(?=[AKPSTakpst])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
+    r"|(?i:token|passw(?:or)?d|secret|api_?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{12,512})"
+)
 #: In order of precedence where two could start at the same place.
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, DATE, IPV4, PHONE, CARD))
+PATTERN = f"(?:{EMAIL})|(?:{SECRET})|(?=[\\d+(])(?:" + "|".join(f"(?:{p})" for p in (DATE, IPV4, PHONE, CARD)) + ")"
+#: Every match has one of these; a text without any is not searched further.
+NEEDED = "[0-9@=:]|AKIA|ASIA"
+
 
 
 def _number(key: str, kind: Column | str, turn: Column, half: Column) -> Column:
@@ -213,7 +219,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
 
     whole = F.transform(F.array(replaced(matches)), rebuilt)[0]
     # most texts have nothing to replace: one search tells, and they are passed on as they are
-    out = F.when(t.rlike(PATTERN), whole).when(t.isNotNull(), F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
+    out = F.when(t.rlike(NEEDED) & t.rlike(PATTERN), whole).when(t.isNotNull(), F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
     name = "_pseudonymised"
     while name in docs.columns:
         name += "_"
