@@ -37,7 +37,7 @@ LEVELS = (-0.35, 0.0, 0.35)  # between the four values of a filter
 #: (shape, first pitch class, pitch classes, frames): shape 0 compares the halves of the pitch
 #: range, 1 those of the time range, 2 the quarters crosswise, 3 the middle third of time with the rest
 FILTERS = [(k % 4, (5 * k) % 12, 4 + 2 * (k % 3), (4, 6, 8, 6)[k // 4 % 4]) for k in range(16)]
-MAX_ERROR, MIN_OVERLAP, MIN_SHARED = 0.25, 16, 2
+MAX_ERROR, MIN_OVERLAP, MIN_SHARED = 0.25, 32, 2
 BLOCK_INTEGERS = 1 << 20
 HITS = 4 << 20
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -163,9 +163,9 @@ class QueryIndex:
         ends = np.append(np.flatnonzero(np.diff(rec)) + 1, len(rec))
         start = 0
         while start < len(flat):  # whole recordings whose hits fit in bounded memory, one at least
-            total = np.cumsum(n[start:])
-            fit = ends[(ends > start) & (total[np.minimum(ends, len(flat)) - 1 - start] <= HITS)] if len(ends) else []
-            end = int(fit[-1]) if len(fit) else int(ends[ends > start][0])
+            later = ends[ends > start]
+            fit = later[np.cumsum(n[start:])[later - 1 - start] <= HITS]
+            end = int(fit[-1] if len(fit) else later[0])
             k = n[start:end]
             hit = np.repeat(low[start:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
             r, q = np.repeat(rec[start:end], k), self.query[hit]

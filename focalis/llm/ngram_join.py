@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 from .words import mix, shingles, slices, words
 
 SHINGLE = 5
@@ -322,11 +322,13 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class, that of the least id; documents without words stay."""
     rows, classes = _joined(docs, similarity, recall, text, key)
-    kept = classes.select(F.col("class_rid").alias("_rid"), F.col("class_th").alias("_th"), F.lit(True).alias("_once"))
-    kept = kept.unionByName(rows.filter("key is null").select(F.col("rid").alias("_rid"), F.col("th").alias("_th"), F.lit(False).alias("_once")))
+    r, t, once = (unused(n, docs.columns) for n in ("_rid", "_th", "_once"))
+    kept = classes.select(F.col("class_rid").alias(r), F.col("class_th").alias(t), F.lit(True).alias(once))
+    kept = kept.unionByName(rows.filter("key is null").select(F.col("rid").alias(r), F.col("th").alias(t), F.lit(False).alias(once)))
     kept = written(kept.distinct(), "kept")
     rid, th = _names(text, key)
-    left = docs.withColumns({"_rid": rid, "_th": th}).join(kept.hint("shuffle_hash"), ["_rid", "_th"])
+    left = docs.withColumns({r: rid, t: th}).join(kept.hint("shuffle_hash"), [r, t])
+    own = [F.col(f"`{c}`") for c in docs.columns]
     if rows.filter("key is not null").groupBy("rid", "th").count().filter("count > 1").isEmpty():
-        return left.select(*docs.columns)
-    return left.filter("_once").dropDuplicates(["_rid", "_th"]).unionByName(left.filter("not _once")).select(*docs.columns)
+        return left.select(*own)
+    return left.filter(F.col(once)).dropDuplicates([r, t]).unionByName(left.filter(~F.col(once))).select(*own)

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 ROUNDS = 8
 EPOCH, DAYS, LEFT, RIGHT = "1700-01-01", 146097, 189, 773
 
@@ -220,9 +222,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     whole = F.transform(F.array(replaced(matches)), rebuilt)[0]
     # most texts have nothing to replace: one search tells, and they are passed on as they are
     out = F.when(t.rlike(NEEDED) & t.rlike(PATTERN), whole).when(t.isNotNull(), F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
-    name = "_pseudonymised"
-    while name in docs.columns:
-        name += "_"
+    name = unused("_pseudonymised", docs.columns)
     rows = docs.withColumn(name, out)
     put = [F.col(f"`{name}`.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != found]
     if found:

@@ -48,3 +48,11 @@ def put(uri: str, data: bytes | list[bytes]) -> None:
         for x in [data] if isinstance(data, bytes) else data:
             out.write(x)
     store.move(part, path)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that a table does not have yet, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

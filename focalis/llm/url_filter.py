@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 BROADCAST_RULES = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +58,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         ready = F.broadcast(ready)
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    held = unused("_best", kept)
     rows = pages.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     urls = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
@@ -66,7 +69,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     tried = tried.withColumn("_tried", digest(F.col("_suffix"), F.col("_prefix"))).withColumn("_short", short(F.col("_tried")))
     fits = tried.join(ready, "_short").filter(F.col("_tried") == F.col("_full"))
     rank = F.struct(F.length("_rule_host") + F.length("_rule_path"), F.length("_rule_host"), "_action")
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_rule_host", "_rule_path").alias("rule"), "_action"), rank).alias("_best"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_rule_host", "_rule_path").alias("rule"), "_action"), rank).alias(held))
     return rows.join(best, ["host", "path"], "left").select(
-        *(F.col(f"`{c}`") for c in kept), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best._action", F.lit(default)).alias("verdict")
+        *(F.col(f"`{c}`") for c in kept), "host", "path", F.col(held)["rule"].alias("rule"), F.coalesce(F.col(held)["_action"], F.lit(default)).alias("verdict")
     )
