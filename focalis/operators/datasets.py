@@ -75,4 +75,4 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def equal(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables have the same columns, types and rows, in any order."""
-    return a.dtypes == b.dtypes and difference(a, b).isEmpty()
+    return a.dtypes == b.dtypes and not difference(a, b).take(1)
