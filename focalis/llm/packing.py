@@ -5,11 +5,12 @@ into pieces of at most ``max_piece`` ids. The remainders of a group of documents
 by the Karmarkar-Karp differencing method: partial partitions, each a list of window sums, are
 merged two by two, the largest difference first, the largest sums of one with the smallest of
 the other. If a window then exceeds the capacity, the number of windows rises by one and the
-group is partitioned anew. Groups are by hash of the document id and hold a bounded number of
-remainders of under one window each, so no group grows with the data.
+group is partitioned anew. Every remainder has a number of its own, by whose hash it is dealt to a
+group; a group holds about ``docs_per_group`` remainders of under one window each, so no group
+grows with the data, whatever the ids are.
 
-Defined results: a null or empty text is the end id alone; null ids share one of 64 salted
-groups each; repeated rows are documents of their own; no rows give no pieces.
+Defined results: a null or empty text is the end id alone; null and repeated ids are documents of
+their own; no rows give no pieces.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .words import slices
 CAPACITY = 1024
 MAX_PIECE = 256
 DOCS_PER_GROUP = 1024
+FULL = 1 << 61  # sequence ids of windows that one document fills start here
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -98,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     groups = max(1, -(-docs.count() // docs_per_group))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, full = Encoder.load(tokenizer), (1 << 62) + (TaskContext.get().partitionId() << 36)
+        coder, number = Encoder.load(tokenizer), 1 + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part in slices(batch):
                 ids, at = with_end(*coder.encode(part.column(1)), end_id)
@@ -106,8 +108,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 for doc, p, q in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     for start in range(0, q - p, capacity):
                         n = min(capacity, q - p - start)
-                        rows.append((doc, start, n, data[4 * (p + start) : 4 * (p + start + n)], q - p, full if n == capacity else None, 0))
-                        full += n == capacity
+                        # full windows are sequences already; remainders get negative numbers until they are packed
+                        rows.append((doc, start, n, data[4 * (p + start) : 4 * (p + start + n)], q - p, FULL + number if n == capacity else -number, 0))
+                        number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
@@ -130,7 +133,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = written(rows.mapInArrow(encode, PIECES), "pieces")
-    spread = F.coalesce(F.col("doc_id"), F.xxhash64("ids") % 64)
-    rest = pieces.filter("sequence_id is null").withColumn("_group", F.pmod(F.xxhash64(spread), F.lit(groups)).cast("long"))
+    rest = pieces.filter("sequence_id < 0").withColumn("_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("long"))
     packed = rest.groupBy("_group").applyInArrow(fill, PIECES)
-    return pieces.filter("sequence_id is not null").unionByName(packed)
+    return pieces.filter("sequence_id > 0").unionByName(packed)
