@@ -46,7 +46,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.transactions(lines(spark, sf_dir), None, [*CONDITIONS, DECISION], [DECISION])
+    return reshape.weighted_transactions(lines(spark, sf_dir), [*CONDITIONS, DECISION], [DECISION])
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ GROUP BY 1, 2 HAVING sum(n_ad) > 5 AND any_value(n_a) > 5 AND sum(n_ad) / any_va
 )
 def rules_multi_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    found = mining.mine_rules(reshape.transactions(rows, None, ["lang", "source", "quality", "toxic"], ["quality", "toxic"]), 5, 0.3)
+    found = mining.mine_rules(reshape.weighted_transactions(rows, ["lang", "source", "quality", "toxic"], ["quality", "toxic"]), 5, 0.3)
     return labelled(found).select("antecedent", "decision", "n_ad", "n_a", "confidence")
 
 
@@ -200,7 +200,7 @@ def rules_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of early and late orders, merged."""
     rows = lines(spark, sf_dir)
     halves = [rows.filter(F.col("o_orderdate") < "1995-07-01"), rows.filter((F.col("o_orderdate") >= "1995-07-01") | F.col("o_orderdate").isNull())]
-    counts = [mining.rule_counts(reshape.transactions(h, None, [*CONDITIONS, DECISION], [DECISION])) for h in halves]
+    counts = [mining.rule_counts(reshape.weighted_transactions(h, [*CONDITIONS, DECISION], [DECISION])) for h in halves]
     return labelled(mining.rules(mining.merged_counts(*counts), SUPPORT, CONFIDENCE)).select("antecedent", "decision", "n_ad", "n_a", "n")
 
 
@@ -547,4 +547,5 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def mined_by_fpgrowth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(mining.mine_with_fpgrowth(line_transactions(spark, sf_dir), SUPPORT, CONFIDENCE))
+    rows = reshape.transactions(lines(spark, sf_dir), None, [*CONDITIONS, DECISION], [DECISION])
+    return labelled(mining.mine_with_fpgrowth(rows, SUPPORT, CONFIDENCE))

@@ -29,6 +29,12 @@ def compact(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("c", "d").agg(weight.alias("w"))
 
 
+def _distinct_rows(transactions: DataFrame, keep: bool = True) -> DataFrame:
+    """Compacted transactions, kept for the several counts that read them (in memory, or on disk where that is short)."""
+    rows = compact(validated(transactions))
+    return rows.persist() if keep else rows
+
+
 def subsets(items: Column) -> Column:
     """All non-empty subsets of an array, in the order of their bit masks."""
     n = F.when(F.size(items) <= MAX_ITEMS, F.size(items)).otherwise(F.raise_error(F.lit(f"a condition set has more than {MAX_ITEMS} items")).cast("int"))
@@ -51,7 +57,7 @@ def antecedents(compacted: DataFrame) -> DataFrame:
 
 def itemset_counts(transactions: DataFrame) -> DataFrame:
     """antecedent, n (transactions that contain it), n_decisions (distinct decision items beside it)."""
-    rows = antecedents(compact(validated(transactions)))
+    rows = antecedents(_distinct_rows(transactions))
     total = rows.groupBy("antecedent").agg(F.sum("w").alias("n"))
     beside = rows.select("antecedent", F.explode("d").alias("x")).distinct().groupBy("antecedent").agg(F.count("*").alias("n_decisions"))
     return total.join(beside, "antecedent")
@@ -59,13 +65,16 @@ def itemset_counts(transactions: DataFrame) -> DataFrame:
 
 def frequent_antecedents(transactions: DataFrame, min_support: int) -> DataFrame:
     """antecedent, n for all that occur more than ``min_support`` times."""
-    rows = antecedents(pruned(compact(validated(transactions)), min_support))
+    rows = antecedents(pruned(_distinct_rows(transactions), min_support))
     return rows.groupBy("antecedent").agg(F.sum("w").alias("n")).filter(F.col("n") > min_support)
 
 
-def rule_counts(transactions: DataFrame, min_support: int = 0) -> DataFrame:
-    """antecedent, decision, n_ad, n_a, n for all pairs above the threshold: all that any rule above it needs."""
-    whole = compact(validated(transactions))
+def rule_counts(transactions: DataFrame, min_support: int = 0, keep: bool = True) -> DataFrame:
+    """antecedent, decision, n_ad, n_a, n for all pairs above the threshold: all that any rule above it needs.
+
+    ``keep`` caches the distinct rows; without it the input is read for each count.
+    """
+    whole = _distinct_rows(transactions, keep)
     rows = antecedents(pruned(whole, min_support))
     n_a = rows.groupBy("antecedent").agg(F.sum("w").alias("n_a")).filter(F.col("n_a") > min_support)
     n_ad = rows.select("antecedent", F.explode("d").alias("decision"), "w").groupBy("antecedent", "decision").agg(F.sum("w").alias("n_ad")).filter(F.col("n_ad") > min_support)

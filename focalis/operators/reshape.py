@@ -23,8 +23,8 @@ def pivot_last_wins(long: DataFrame, key: str, names: list[str] | None = None) -
     return long.groupBy(key).pivot("name", names).agg(F.max_by("value", F.struct("ord", "value")))
 
 
-def transactions(wide: DataFrame, tid: str | None, columns: list[str] | None = None, decisions: list[str] | None = None) -> DataFrame:
-    """tid, c, d: sorted item arrays of the non-null cells of each row.
+def transactions(wide: DataFrame, tid: str | None, columns: list[str] | None = None, decisions: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """tid, c, d (and w, if a column is named as weight): sorted item arrays of the non-null cells of each row.
 
     Decision items are those of ``decisions``, or else those whose name says so. A projection.
     """
@@ -35,7 +35,17 @@ def transactions(wide: DataFrame, tid: str | None, columns: list[str] | None = N
         return is_decision(x["name"]) if decisions is None else x["name"].isin(*decisions)
 
     head = [F.col(tid).alias("tid")] if tid else [F.lit(None).cast("long").alias("tid")]
-    return wide.select(*head, F.filter(cells, lambda x: ~decides(x)).alias("c"), F.filter(cells, decides).alias("d"))
+    tail = [F.col(weight).alias("w")] if weight else []
+    return wide.select(*head, F.filter(cells, lambda x: ~decides(x)).alias("c"), F.filter(cells, decides).alias("d"), *tail)
+
+
+def weighted_transactions(wide: DataFrame, columns: list[str], decisions: list[str] | None = None) -> DataFrame:
+    """tid (null), c, d, w: distinct rows as transactions, and how often they occur.
+
+    Rows are grouped by their plain columns, before any array is built, so only distinct rows pay for that.
+    """
+    distinct = wide.groupBy(*columns).agg(F.count("*").alias("_w"))
+    return transactions(distinct.withColumn("_w", F.col("_w").cast("long")), None, columns, decisions, weight="_w")
 
 
 def from_long(long: DataFrame, tid: str) -> DataFrame:

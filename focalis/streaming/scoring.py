@@ -37,7 +37,7 @@ class IncrementalCounts:
     def add(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        new = mining.rule_counts(batch)
+        new = mining.rule_counts(batch, keep=False)  # a stream would pile up caches
         if self.version:
             new = mining.merged_counts(self.current(batch), new)
         new.write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
