@@ -31,7 +31,7 @@ from .words import slices
 
 MAGIC = b"FBPK"
 BLOCK = 1 << 16
-ROWS_PER_SHARD = 20_000
+ROWS_PER_SHARD = 10_000
 
 
 def width(vocabulary: int) -> int:

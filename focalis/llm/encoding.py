@@ -20,9 +20,9 @@ from .words import _BYTE, mix, powers, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_CHUNKS = 2_500_000  # a worker forgets its chunks beyond this number; results do not depend on it
-WINDOW = 2 << 20
-_TABLE = 1 << 22
+CACHE_CHUNKS = 1_000_000  # a worker forgets its chunks beyond this number; results do not depend on it
+WINDOW = 1 << 20
+_TABLE = 1 << 21
 _MASK = np.uint64(_TABLE - 1)
 
 _LETTER = np.zeros(256, bool)

@@ -34,7 +34,7 @@ from .words import slices, words
 PATH_BUCKETS, WORD_BUCKETS, VECTOR, NUMBERS = 4096, 2048, 16, 9
 HIDDEN = 20
 TRAINING_PAGES, EPOCHS, SEED = 1200, 5, 7
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 # --- features
 

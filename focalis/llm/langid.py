@@ -30,7 +30,7 @@ BITS = 16
 ORDERS = (2, 3, 4)
 MAX_TRAIN_DOCS = 20_000
 SMOOTHING = 0.5
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @cache

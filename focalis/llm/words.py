@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20  # rows are handled in slices of about this much text
-WINDOW_BYTES = 2 << 20  # and the bytes of a slice in windows of about this size
+WINDOW_BYTES = 1 << 20  # and the bytes of a slice in windows of about this size
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
