@@ -39,6 +39,7 @@ SHINGLE = 5
 DEPTH = 3
 LEAF = 64
 BLOCK = 512
+SPREAD = 16
 WIDTH = 8  # hash functions that a path may choose from at each step but the first
 SIMILARITY, RECALL = 0.8, 0.999
 
@@ -304,10 +305,13 @@ def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: s
     found = written(_verified(active, similarity), "links")
     total = found.groupBy("key").agg(F.sum("links").alias("links"))
     root = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("key"), "p")
-    members = sets.select("key", "rid", "th", "w").join(root, "key", "left").withColumn("p", F.coalesce("p", "key")).join(total, "key", "left")
-    members = written(members, "join-classes")
-    least = members.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep"))
-    classes = members.join(least, "p").select("key", F.col("rep.rid").alias("class_rid"), F.col("rep.th").alias("class_th"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    # only linked sets need the least of their component; a component may be large, so its members are spread
+    linked = written(sets.select("key", "rid", "th").join(root, "key"), "join-classes")
+    least = linked.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(least, ["p", "salt"]).select("key", "rep")
+    links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
+    classes = sets.select("key", "rid", "th", "w").join(named, "key", "left").join(total, "key", "left")
+    classes = classes.select("key", F.coalesce("rep.rid", "rid").alias("class_rid"), F.coalesce("rep.th", "th").alias("class_th"), links.alias("n_links"))
     return rows.select("rid", "th", "key"), classes
 
 
