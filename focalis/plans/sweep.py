@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, lookup, mining
+from ..operators import lookup, mining
 
 
 @dataclass(frozen=True)
@@ -87,4 +87,4 @@ def timed_lookup(counts: DataFrame, grid: list[tuple[int, float]], sentences: Da
     return counts.sparkSession.createDataFrame(rows, "min_support long, min_confidence double, n_rules long, containment_s double, counting_s double")
 
 
-__all__ = ["EXPERIMENTS", "Grid", "cells", "evaluate", "report", "swept_accuracy", "swept_rules", "timed_lookup"]
+__all__ = ["EXPERIMENTS", "Grid", "cells", "report", "swept_accuracy", "swept_rules", "timed_lookup"]
