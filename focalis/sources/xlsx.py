@@ -57,8 +57,15 @@ def rows_of(data: bytes) -> Iterator[list[str | None]]:
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet of a file, its first row as column names, all columns nullable strings."""
     binary = spark.read.format("binaryFile").load(path).select("content")
-    head = binary.rdd.map(lambda r: next(rows_of(bytes(r[0])), [])).first()
-    names = [n or f"_c{i}" for i, n in enumerate(head)]
+
+    def first_row(frames):
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.DataFrame({"names": [next(rows_of(bytes(data)), []) for data in frame.content]})
+
+    head = binary.mapInPandas(first_row, "names array<string>").first()
+    names = [n or f"_c{i}" for i, n in enumerate(head.names)]
 
     def run(frames):
         import pandas as pd
