@@ -312,7 +312,8 @@ def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: s
     links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     classes = sets.select("key", "rid", "th", "w").join(named, "key", "left").join(total, "key", "left")
     classes = classes.select("key", F.coalesce("rep.rid", "rid").alias("class_rid"), F.coalesce("rep.th", "th").alias("class_th"), links.alias("n_links"))
-    return rows.select("rid", "th", "key"), classes
+    # written, so that the join with all rows stands alone and Spark can split the key of a large group of copies
+    return rows.select("rid", "th", "key"), written(classes, "set-classes")
 
 
 def join_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
