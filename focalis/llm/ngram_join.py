@@ -307,7 +307,9 @@ def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: s
     root = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("key"), "p")
     # only linked sets need the least of their component; a component may be large, so its members are spread
     linked = written(sets.select("key", "rid", "th").join(root, "key"), "join-classes")
-    least = linked.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    # written, as else the rows of a component would stay together for the join, whatever their salt
+    least = written(linked.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep")), "component-least")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(least, ["p", "salt"]).select("key", "rep")
     links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     classes = sets.select("key", "rid", "th", "w").join(named, "key", "left").join(total, "key", "left")
