@@ -528,13 +528,15 @@ def condition_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sentences(spark, sf_dir)
     t = features.rule_tokens(s)
-    return features.training_table(s, t, last_words(t))
+    gold = last_words(t)
+    return features.training_table(s, t, gold, paths.from_structure_word(s, t, gold))
 
 
 @_query()
 def query_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sentences(spark, sf_dir)
-    _, candidates = features.query_table(s, features.rule_tokens(s))
+    t = features.rule_tokens(s)
+    _, candidates = features.query_table(s, t, paths.from_structure_word(s, t))
     return candidates.groupBy("item.name").agg(F.count("*").alias("n"), F.countDistinct("sent_id").alias("n_sentences"))
 
 

@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import features
+
 #: Fixed format: a step is the relation, a full-width colon and the direction.
 STEP, JOINT, FORTH, BACK = "[%s：%s]", " --> ", "-->", "<--"
+#: Paths of a batch that are handed on at once.
+BATCH = 10_000
 
 
 def shortest(edges: list[tuple[str, str, str]], source: str, target: str | None = None) -> dict[str, list[str]]:
@@ -47,14 +51,33 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["sent_id", "source", "target", "ord", "path"])
+            out.clear()
+            return made
+
         for batch in batches:
-            out = []
             for sent, found, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 triples = [(e["rel"], e["head"], e["dep"]) for e in found]
                 for p in asked:
                     for target, paths in shortest(triples, p["source"], p["target"]).items():
                         out += [(sent, p["source"], target, i, path) for i, path in enumerate(paths)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["sent_id", "source", "target", "ord", "path"])
+                        if len(out) >= BATCH:
+                            yield taken()
+        if out:
+            yield taken()
 
     return rows.mapInArrow(run, "sent_id long, source string, target string, ord long, path string")
+
+
+def from_structure_word(sentences: DataFrame, tokens: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """sent_id, word, path: the paths from the structure word to the gold word, or to every other word if there is no ``gold``.
+
+    ``How many`` starts at ``How``, or at ``how`` in a sentence that has no ``How``.
+    """
+    start = F.when((F.col("word") == features.HOW_MANY) & ~F.col("text").contains("How"), "how").otherwise(features.located(F.col("word")))
+    sources = features.structure_word(tokens).filter("word is not null").join(sentences, "sent_id").select("sent_id", start.alias("source"))
+    pairs = sources.withColumn("target", F.lit(None).cast("string")) if gold is None else sources.join(gold.select("sent_id", F.col("word").alias("target")), "sent_id")
+    return shortest_paths(features.edges(tokens), pairs).select("sent_id", F.col("target").alias("word"), "path")

@@ -32,10 +32,7 @@ def training_long(questions: DataFrame, parser=None, float_positions: bool = Fal
     sentences = _sentences(questions)
     tokens = _parsed(sentences, parser)
     gold = questions.select(F.col("id").alias("sent_id"), F.col("question_word").alias("word"))
-    links, structure = features.edges(tokens), features.structure_word(tokens)
-    pairs = structure.filter("word is not null").select("sent_id", features.located(F.col("word")).alias("source")).join(gold.withColumnRenamed("word", "target"), "sent_id")
-    found = paths.shortest_paths(links, pairs).select("sent_id", F.col("target").alias("word"), "path")
-    long = features.training_table(sentences, tokens, gold, found)
+    long = features.training_table(sentences, tokens, gold, paths.from_structure_word(sentences, tokens, gold))
     if float_positions:
         long = long.withColumn("value", F.when(F.col("name").rlike(POSITION), F.concat("value", F.lit(".0"))).otherwise(F.col("value")))
     return long
@@ -53,7 +50,7 @@ def cleaned_queries(questions: DataFrame, parser=None, nested_keys: bool = False
     """
     sentences = _sentences(questions)
     tokens = _parsed(sentences, parser)
-    c, candidates = features.query_table(sentences, tokens)
+    c, candidates = features.query_table(sentences, tokens, paths.from_structure_word(sentences, tokens))
     text = item_text(F.col("item"))
     if nested_keys:
         text = F.when(F.col("item.name") == "SAME_DEPENDENCY", F.concat(F.lit("("), text, F.lit(",)"))).otherwise(text)

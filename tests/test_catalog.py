@@ -42,3 +42,9 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_feature_queries_have_paths(spark):
+    candidates = {r["name"]: r.n_sentences for r in entry.queries()["query_candidates"](spark, SF).collect()}
+    trained = entry.queries()["training_features"](spark, SF).filter("name = 'DEPENDENCY_PATH'")
+    assert candidates["DEPENDENCY_PATH"] > 0 and not trained.isEmpty()

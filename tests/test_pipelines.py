@@ -28,3 +28,15 @@ def test_parity_forms(spark):
     plain = pipelines.cleaned_queries(q)
     a, b = (sum(k.startswith("((") for k in x.first().words) for x in (nested, plain))
     assert a >= b == 0
+
+
+def test_query_words_by_path(spark):
+    """Each path of the training side leads a query to its word; ``how many`` in small letters starts at ``how``."""
+    rows = [*ROWS, (6, "In how many of the rivers?", "rivers")]
+    q = spark.createDataFrame(rows, readers.QUESTION)
+    trained = {(r.sent_id, f"('DEPENDENCY_PATH', '{r.value}')") for r in pipelines.training_long(q).filter("name = 'DEPENDENCY_PATH'").collect()}
+    assert {i for i, _ in trained} == {r[0] for r in rows}
+    words = {r.id: r.words for r in pipelines.cleaned_queries(q).collect()}
+    gold = {r[0]: r[2] for r in rows}
+    assert all(gold[i] in words[i].get(key, []) for i, key in trained)
+    assert sum("DEPENDENCY_PATH" in key for key in words[1]) == 3
