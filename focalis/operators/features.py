@@ -161,6 +161,8 @@ def query_table(sentences: DataFrame, tokens: DataFrame, paths: DataFrame | None
     links, structure = edges(tokens), structure_word(tokens)
     x = F.struct("name", "value")
     c = condition_features(sentences, links, structure).groupBy("sent_id").agg(F.array_sort(F.collect_set(x)).alias("c"))
-    words = tokens.groupBy("sent_id", F.col("text").alias("word")).agg(F.min_by("xpos", F.struct("sub_sent", "idx")).alias("pos"), F.min(F.struct("sub_sent", "idx")).alias("at"))
-    decisions = decision_features(links, structure, words.select("sent_id", "word", "pos"), paths)
+    words = tokens.groupBy("sent_id", F.col("text").alias("word")).agg(F.min(F.struct("sub_sent", "idx")).alias("at"))
+    # a repeated word keeps each of its tags
+    tagged = tokens.select("sent_id", F.col("text").alias("word"), F.col("xpos").alias("pos")).distinct()
+    decisions = decision_features(links, structure, tagged, paths)
     return c, decisions.join(words.select("sent_id", "word", "at"), ["sent_id", "word"]).select("sent_id", x.alias("item"), "word", F.col("at").alias("pos"))

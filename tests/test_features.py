@@ -81,6 +81,13 @@ def test_training_and_query_tables_agree(spark):
     assert {tuple(r.item) for r in cand.filter("word = 'peak'").collect()} == {x for x in train if x[0].startswith("QUESTION")}
 
 
+def test_repeated_word_keeps_its_tags(spark):
+    s = spark.createDataFrame([(0, "Who can can?")], "sent_id long, text string")
+    _, cand = features.query_table(s, tokens(spark, "Who/WP can/MD can/VB"))
+    rows = [(tuple(r.item), r.word, r.pos.idx) for r in cand.filter("word = 'can' and item.name in ('QUESTION_WORD', 'QUESTION_WORD_POS')").collect()]
+    assert sorted(rows) == [(("QUESTION_WORD", "can"), "can", 2), (("QUESTION_WORD_POS", "MD"), "can", 2), (("QUESTION_WORD_POS", "VB"), "can", 2)]
+
+
 def test_cleaned_json(spark, tmp_path):
     entries = [{"id": 1, "data": {"set": ["a", "b", "a"], "dict": {"x": ["w"]}}}, {"id": 2}, {"id": 3, "data": {"set": "no", "dict": 5}}, 7]
     (tmp_path / "c.json").write_text(json.dumps(entries))
