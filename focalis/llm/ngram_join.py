@@ -40,7 +40,6 @@ DEPTH = 3
 LEAF = 64
 BLOCK = 512
 SPREAD = 16
-WIDTH = 8  # hash functions that a path may choose from at each step but the first
 SIMILARITY, RECALL = 0.8, 0.999
 
 
@@ -60,18 +59,17 @@ def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def paths_of(flat: np.ndarray, at: np.ndarray, runs: int) -> np.ndarray:
     """For each non-empty row and run, the nodes of its path: rows x runs x DEPTH."""
     rows = np.flatnonzero(np.diff(at) > 0)
-    functions = runs + WIDTH * (DEPTH - 1)
-    least = np.empty((len(rows), functions), np.uint64)
-    salt = mix(np.arange(1, functions + 1, dtype=np.uint64))
-    for k in range(functions):
-        least[:, k] = np.minimum.reduceat((flat ^ salt[k]) * (mix(salt[k : k + 1]) | np.uint64(1))[0], at[rows]) if len(rows) else 0
+    start, size = at[rows], np.diff(at)[rows]
     out = np.empty((len(rows), runs, DEPTH), np.uint64)
+    if not len(rows):
+        return out
+    salt = mix(np.arange(1, runs + 1, dtype=np.uint64))
     for r in range(runs):
-        node = mix(least[:, r] + salt[r])
-        out[:, r, 0] = node
-        for d in range(1, DEPTH):
-            choice = runs + WIDTH * (d - 1) + (node % np.uint64(WIDTH)).astype(np.int64)
-            node = mix(node ^ mix(least[np.arange(len(rows)), choice]))
+        # a function of its own for each node, and thus for each run: misses of runs are independent
+        node = np.full(len(rows), salt[r])
+        for d in range(DEPTH):
+            least = np.minimum.reduceat((flat ^ np.repeat(node, size)) * np.repeat(mix(node) | np.uint64(1), size), start)
+            node = mix(node ^ mix(least))
             out[:, r, d] = node
     return out
 

@@ -86,6 +86,18 @@ def test_recall_of_paths(similarity):
     assert hit >= 0.975 * tries
 
 
+def test_runs_miss_independently():
+    """Of pairs at the threshold, no more are missed at the greatest depth than the stated recall allows."""
+    r, tries = np.random.default_rng(11), 8000
+    sets = []
+    for _ in range(tries):
+        common = r.integers(0, 2**63, 80).astype(np.uint64)
+        sets += [np.unique(np.concatenate((common, r.integers(0, 2**63, 10).astype(np.uint64)))) for _ in range(2)]
+    p = J.paths_of(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), J.runs_for(J.SIMILARITY, J.RECALL))
+    missed = tries - (p[::2, :, -1] == p[1::2, :, -1]).any(axis=1).sum()
+    assert missed <= 16  # 8 are expected; shared functions would miss 49
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)]
     key = lambda i: (i * 2654435761 % 2**32).to_bytes(16, "big")
