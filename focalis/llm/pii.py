@@ -2,10 +2,12 @@
 
 Found and validated:
 
-- payment card numbers: 13 to 19 digits, single blanks or hyphens between them, Luhn check right
+- payment card numbers: 13 to 19 digits, single blanks or hyphens between them, Luhn check right; within
+  a run of more digits only unbroken ones and the groups 4-4-4-4, 4-4-4-4-3, 4-6-4 and 4-6-5
 - telephone numbers: ``+1 (NNN) NNN-NNNN`` and the like, with a country code or an area code
 - IPv4 addresses: four numbers of at most 255
-- dates: ``YYYY-MM-DD``, ``YYYY/MM/DD``, ``DD.MM.YYYY``, ``DD/MM/YYYY``, of the years 1700 to 2099, that exist
+- dates: ``YYYY-MM-DD``, ``YYYY/MM/DD``, ``DD.MM.YYYY``, ``DD/MM/YYYY``, ``MM/DD/YYYY``, of the
+  years 1700 to 2099, that exist
 - e-mail addresses: letters and digits of the local part
 - secrets: access keys of a known form, and values of 12 or more letters and digits after ``token``,
   ``password``, ``secret`` or ``key`` and an equals sign or colon
@@ -17,7 +19,8 @@ digit. A date is a number of days in the 400-year cycle of the calendar, 146,097
 days, whose two factors are the halves; an address has two halves of 65,536 values. Strings are
 halved by length and each character moves within its class (0-9, a-z, A-Z; a secret of
 hexadecimal digits alone within those); the rest stay.
-Ambiguous ``D/M`` dates are read day first. As in any permutation a value may map to itself.
+Ambiguous ``D/M`` dates are read day first; those that only exist month first get pseudonyms that
+only exist month first. As in any permutation a value may map to itself.
 
 Defined results: a null text stays null; text without such values is returned as it is, byte for
 byte; rows, order of columns and all other columns are left alone; no rows give no rows.
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 from .shared import unused
 
 ROUNDS = 8
+LONG = 600
 EPOCH, DAYS, LEFT, RIGHT = "1700-01-01", 146097, 189, 773
+#: Steps at most to a month-first date with a day above 12; two of five are not, so none is left after these.
+WALK = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,255}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
@@ -42,10 +48,15 @@ PHONE = (
     r"|(?<![\d+])\+(?!1[ (.\-])\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
 )
-CARD = r"(?<![\d.+\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
+#: What may begin after a blank or hyphen within a run of digits, and ends the run there.
+_OTHER = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, PHONE))
+#: A whole run of 13 digits or more, not the fraction of a decimal number; ``_card`` finds the cards in it.
+CARD = rf"(?<!\d)(?<!\d\.)\d(?:(?:[ \-](?!{_OTHER}))?\d){{12,}}+"
+#: Usual groups of a card: the only ones looked for in a run of more than 19 digits.
+GROUPS = "^(?:\\d{13,19}|\\d{4}(?: \\d{4}){3}(?: \\d{3})?|\\d{4} \\d{6} \\d{4,5})$"
 SECRET = (
     r"(?=[AKPSTakpst])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-    r"|(?i:token|passw(?:or)?d|secret|api_?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{12,512})"
+    r"|(?i:token|passw(?:or)?d|secret|api_?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{12,}+)"
 )
 #: In order of precedence where two could start at the same place.
 PATTERN = f"(?:{EMAIL})|(?:{SECRET})|(?=[\\d+(])(?:" + "|".join(f"(?:{p})" for p in (DATE, IPV4, PHONE, CARD)) + ")"
@@ -80,15 +91,23 @@ def permute_pair(left: Column, right: Column, left_size: int, right_size: int, k
 
 def permute_text(text: Column, key: str, kind: Column | str) -> Column:
     """A permutation of the strings of one format: each character moves within its class."""
+    hexadecimal = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]") & text.rlike("[0-9]") if isinstance(kind, str) and kind == "secret" else F.lit(False)
+    given = F.array(F.struct(text.alias("text"), hexadecimal.alias("hex")))
+    return F.transform(given, lambda x: _permuted(x["text"], x["hex"], key, kind))[0]
+
+
+def _permuted(text: Column, hexadecimal: Column, key: str, kind: Column | str) -> Column:
     n = F.length(text)
-    hexadecimal = text.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & text.rlike("[0-9]") & F.lit(kind == "secret") if isinstance(kind, str) else F.lit(False)
 
     def move(target: Column, other: Column, i: Column) -> Column:
         prefix = F.concat_ws("|", F.lit(key), F.lit(kind) if isinstance(kind, str) else kind, n.cast("string"), i.cast("string"), other)
 
-        def one(c: Column, k: Column) -> Column:
+        # a long half goes into each digest as its own digest, or time would grow with its square
+        start = F.array(F.when(n > LONG, F.sha2(prefix, 256)).otherwise(prefix))
+
+        def one(c: Column, k: Column, begin: Column) -> Column:
             # 32 places share a digest, 4 hexadecimal digits each
-            digest = F.sha2(F.concat_ws("|", prefix, F.floor(k / 16).cast("string")), 256)
+            digest = F.sha2(F.concat_ws("|", begin, F.floor(k / 16).cast("string")), 256)
             step = F.conv(F.substring(digest, (k % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
             code = F.ascii(c)
             shifted = (
@@ -99,7 +118,7 @@ def permute_text(text: Column, key: str, kind: Column | str) -> Column:
             )
             return F.coalesce(F.char(shifted), c)
 
-        return F.when(F.length(target) == 0, target).otherwise(F.array_join(F.transform(F.split(target, ""), one), ""))
+        return F.when(F.length(target) == 0, target).otherwise(F.transform(start, lambda b: F.array_join(F.transform(F.split(target, ""), lambda c, k: one(c, k, b)), ""))[0])
 
     def turn(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -136,14 +155,57 @@ def luhn_sum(number: Column, doubled: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(number) - 1), F.lit(0), add)
 
 
-def _card(m: Column, key: str) -> Column:
+def _one_card(m: Column, key: str) -> Column:
     d = digits(m)
+    body = F.array(permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))
+    return F.transform(body, lambda b: into_layout(m, F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string"))))[0]
 
-    def build(body: Column) -> Column:
-        return F.concat(body, F.pmod(-luhn_sum(body, 1), F.lit(10)).cast("string"))
 
-    body = F.array(permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))
-    return F.when((luhn_sum(d, 0) % 10 == 0) & ~d.rlike("^0+$"), F.transform(body, lambda b: into_layout(m, build(b)))[0]).otherwise(m)
+def _card(m: Column, key: str) -> Column:
+    """A run of digits with the cards in it replaced: groups from the left, of usual lengths if there are any such cards.
+
+    In a run of at most 19 digits any groups of 13 digits or more with a right check digit are a card.
+    """
+    return F.transform(F.array(F.split(m, "[ -]")), lambda groups: _cards_of(m, groups, key))[0]
+
+
+def _cards_of(m: Column, groups: Column, key: str) -> Column:
+    n = F.length(F.array_join(groups, ""))
+
+    def ends(i: Column, usual: bool) -> Column:
+        """The last groups, the longest first, of the cards that start at group i."""
+
+        def is_card(j: Column) -> Column:
+            cut = F.slice(groups, i + 1, j - i + 1)
+            text = F.array_join(cut, "")
+            known = F.array_join(cut, " ").rlike(GROUPS) if usual else F.length(text).between(13, 19)
+            return known & (luhn_sum(text, 0) % 10 == 0) & ~text.rlike("^0+$")
+
+        return F.reverse(F.filter(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), is_card))
+
+    def spans(usual: bool) -> Column:
+        """start and end groups of cards that do not overlap."""
+        firsts = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.struct(i.alias("i"), F.get(ends(i, usual), F.lit(0)).alias("j")))
+        nothing = F.array().cast("array<struct<i:int,j:int>>")
+        free = lambda done, x: F.coalesce(F.get(done, F.size(done) - 1)["j"] < x["i"], F.lit(True))
+        return F.aggregate(F.filter(firsts, lambda x: x["j"].isNotNull()), nothing, lambda done, x: F.when(free(done, x), F.array_append(done, x)).otherwise(done))
+
+    def place(k: Column) -> Column:
+        """The place, from 1, of the first character of group k."""
+        return F.when(k == 0, 1).otherwise(F.length(F.array_join(F.slice(groups, F.lit(1), k), " ")) + 2)
+
+    def put(found: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            first, after = place(x["i"]), place(x["j"] + 1) - 1
+            new = _one_card(F.substring(m, first, after - first), key)
+            return F.struct(F.concat(s["out"], F.substring(m, s["at"], first - s["at"]), new).alias("out"), after.alias("at"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+        return F.aggregate(found, start, add, lambda s: F.concat(s["out"], F.substring(m, s["at"], F.length(m))))
+
+    usual = F.array(spans(True))
+    chosen = F.transform(usual, lambda u: F.when((F.size(u) > 0) | (n > 19), u).otherwise(spans(False)))
+    return F.transform(chosen, put)[0]
 
 
 def _date(m: Column, key: str) -> Column:
@@ -152,14 +214,28 @@ def _date(m: Column, key: str) -> Column:
     year = F.when(year_first, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
     month = F.when(year_first, F.substring(m, 6, 2)).otherwise(F.substring(m, 4, 2))
     day = F.when(year_first, F.substring(m, 9, 2)).otherwise(F.substring(m, 1, 2))
+    epoch = F.lit(EPOCH).cast("date")
     there = F.concat_ws("-", year, month, day).try_cast("date")
-    n = F.datediff(there, F.lit(EPOCH).cast("date")).cast("long")
-    moved = F.array(permute_pair(F.floor(n / RIGHT), n % RIGHT, LEFT, RIGHT, key, "date"))
+    # with slashes, what is no date day first may be one month first; its day is above 12
+    month_first = there.isNull() & ~year_first & (mark == "/")
+    n = F.datediff(F.coalesce(there, F.when(month_first, F.concat_ws("-", year, day, month).try_cast("date"))), epoch).cast("long")
+
+    def there_at(p: Column) -> Column:
+        return F.date_add(epoch, (p["l"] * RIGHT + p["r"]).cast("int"))
+
+    def turn(p: Column) -> Column:
+        return permute_pair(p["l"], p["r"], LEFT, RIGHT, key, "date")
+
+    def walk(p: Column, _: Column) -> Column:
+        return F.when(month_first & (F.dayofmonth(there_at(p)) <= 12), turn(p)).otherwise(p)
+
+    once = F.array(permute_pair(F.floor(n / RIGHT), n % RIGHT, LEFT, RIGHT, key, "date"))
+    # month first: on to a date that again can only be read so, or two dates could get one pseudonym
+    moved = F.transform(once, lambda p: F.aggregate(F.sequence(F.lit(1), F.when(month_first, WALK).otherwise(1)), p, walk))
 
     def show(p: Column) -> Column:
-        out = F.date_add(F.lit(EPOCH).cast("date"), (p["l"] * RIGHT + p["r"]).cast("int"))
-        y, mo, d = (F.date_format(out, x) for x in ("yyyy", "MM", "dd"))
-        return F.when(year_first, F.concat(y, mark, mo, mark, d)).otherwise(F.concat(d, mark, mo, mark, y))
+        y, mo, d = (F.date_format(there_at(p), x) for x in ("yyyy", "MM", "dd"))
+        return F.when(year_first, F.concat(y, mark, mo, mark, d)).when(month_first, F.concat(mo, mark, d, mark, y)).otherwise(F.concat(d, mark, mo, mark, y))
 
     return F.when(n.between(0, DAYS - 1), F.transform(moved, show)[0]).otherwise(m)
 
