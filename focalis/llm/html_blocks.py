@@ -13,18 +13,23 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "audio", "video", "canvas")
+#: Of these, the ones that go on to the end of a page without their end tag; of the others only the tag is left out then.
+ENDLESS = frozenset(("script", "style", "textarea", "title"))
 #: An opening tag that ends an open element of the listed kinds, unless one of ``BARRIERS`` lies between.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BARRIERS = frozenset("ul ol dl table select menu body".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=|/)|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*[^>]*>", re.I) for tag in RAW_TAGS}
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?<![\w\-])display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
@@ -41,6 +46,17 @@ def _parts(rest: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _hidden(rest: str) -> bool:
+    """Whether the attributes have ``hidden`` or a style that shows nothing."""
+    if not _MAY_HIDE.search(rest):
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        name = m[1].lower()
+        if name == "hidden" or (name == "style" and _NOT_SHOWN.search(m[2] or m[3] or m[4] or "")):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order: character references decoded, white space runs turned into one blank, trimmed."""
     out: list[Block] = []
@@ -70,13 +86,23 @@ def blocks(page: str) -> list[Block]:
             linked += len(s)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
         if m["tag"] is None:
             if m["raw"] is None and m[0].startswith("<![CDATA["):
                 text(html.escape(m[0][9:].removesuffix("]]>")))
+            elif m["raw"] and not (m["raw"].lower() in ("svg", "math") and m[0].endswith("/>")):
+                raw = m["raw"].lower()
+                end = None if raw in unclosed else _RAW_ENDS[raw].search(page, at)
+                if end:
+                    at = end.end()
+                elif raw in ENDLESS:
+                    at = len(page)
+                else:
+                    unclosed.add(raw)
             continue
         tag = m["tag"].lower()
         if tag == "br":
@@ -107,7 +133,7 @@ def blocks(page: str) -> list[Block]:
                 while len(stack) > last:
                     close()
         if tag not in VOID_TAGS:
-            none = bool(_HIDDEN.search(m["rest"])) if m["rest"] else False
+            none = _hidden(m["rest"])
             stack.append((tag, _parts(m["rest"]) if m["rest"] else (), none))
             links += tag == "a"
             hidden += none

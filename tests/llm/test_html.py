@@ -94,3 +94,16 @@ def test_odd_rows(spark, model):
     a, b = (r.text for r in got if r.page_id == 4)
     assert a == b and a.count("\n\n") > 2900
     assert H.extract(pages.limit(0), model).count() == 0
+
+
+def test_raw_elements_without_an_end_keep_the_text_behind():
+    for tag in ('<svg width="1"/>', "<math/>", "<iframe src='x'>", "<object data=x>", "<video controls>", "<canvas>", '<svg viewBox="0">'):
+        assert [b.text for b in blocks(f"<div>{tag}<p>one</p></div><p>two</p>")] == ["one", "two"], tag
+    assert [b.text for b in blocks("<p>a</p><svg><text>no</text></svg><object>no</object><p>b</p><script>no <p>no</p>")] == ["a", "b"]
+
+
+def test_hidden_is_an_attribute():
+    shown = ['class="col hidden md-block"', 'title="the hidden cave"', "data-x='style=\"display:none\"'", 'aria-hidden="false"', 'style="--display: none-x"']
+    not_shown = ["hidden", 'class="a" HIDDEN=""', "hidden=until-found", 'style="color:red; display : none"', "style=display:none", "class='b'hidden"]
+    assert [b.text for a in shown for b in blocks(f"<div {a}>yes</div>")] == ["yes"] * len(shown)
+    assert [b.text for a in not_shown for b in blocks(f"<div {a}>no</div>")] == []
