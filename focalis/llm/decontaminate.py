@@ -5,7 +5,9 @@ place of every document and joined with the same hashes of the benchmark; whatev
 words are, equal chosen words meet. Around each hit the document and the item are laid on one
 diagonal, and the document leaks the item if some ``WINDOW`` aligned words (the whole item, if
 that is shorter) agree in all but ``SUBSTITUTIONS`` places. The masks are such that any two
-substitutions in a window of 13 words leave at least one of them untouched.
+substitutions in a window of 13 words leave at least one of them untouched, and so does the one
+substitution that items of 10 to 12 words allow. Items of 8 and 9 words, too short for most places
+of these masks, have a mask of four words more, which fits beside any one substitution.
 
 The benchmark's index is handed to the workers in parts of at most ``PART_WORDS`` words; a
 larger benchmark takes more passes over the documents, each piped into the next.
@@ -30,6 +32,8 @@ from .words import mix, slices, words
 MASKS = ("11110111", "11011001011", "1100101111", "111101011")
 WINDOW, SUBSTITUTIONS = 13, 2
 SHORTEST = 8
+#: One more mask for items of fewer words than ``SHORT``.
+SHORT_MASK, SHORT = "1111", 10
 PART_WORDS = 250_000
 _FACTOR = mix(np.arange(101, 132, dtype=np.uint64)) | np.uint64(1)
 
@@ -55,10 +59,12 @@ class Index:
         size = np.diff(at)
         item = np.repeat(np.arange(len(ids)), size)
         self.tables = []
-        for salt, mask in enumerate(MASKS):
+        for salt, mask in enumerate((*MASKS, SHORT_MASK)):
             h = seeds(w, mask, salt)
             place = np.arange(len(h))
             ok = (place + len(mask) <= at[1:][item[: len(h)]]) & (size[item[: len(h)]] >= SHORTEST)
+            if mask == SHORT_MASK:
+                ok &= size[item[: len(h)]] < SHORT
             h, place = h[ok], place[ok]
             order = np.argsort(h, kind="stable")
             maybe = np.zeros(1 << 20, bool)
@@ -69,9 +75,11 @@ class Index:
     def leaks(self, w: np.ndarray, at: np.ndarray) -> dict[int, dict[int, int]]:
         """For each row that leaks: its items and how many words agree, for the best alignment of each."""
         found: list[np.ndarray] = []
-        for salt, (mask, (known, place, maybe)) in enumerate(zip(MASKS, self.tables)):
+        for salt, (mask, (known, place, maybe)) in enumerate(zip((*MASKS, SHORT_MASK), self.tables)):
+            if not len(known):
+                continue
             h = seeds(w, mask, salt)
-            if not len(h) or not len(known):
+            if not len(h):
                 continue
             p = np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)])
             low, high = np.searchsorted(known, h[p], "left"), np.searchsorted(known, h[p], "right")

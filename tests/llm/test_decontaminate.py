@@ -77,3 +77,12 @@ def test_odd_rows(spark, odd_docs, no_docs, bench):
     assert report.count() == odd_docs.count() and report.filter("contaminated or contaminated is null").count() == 0
     assert inside(D.remove_leaks(odd_docs, bench), odd_docs) and D.remove_leaks(odd_docs, bench).count() == odd_docs.count()
     assert D.leak_report(no_docs, bench).count() == 0 and D.remove_leaks(odd_docs, bench.limit(0)).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12])
+def test_short_items_allow_one_substitution_anywhere(n):
+    item = sentence(3060, n).split()
+    index = D.Index([1], [" ".join(item)])
+    texts = [" ".join(["before", *item[:k], "other", *item[k + 1 :], "after"]) for k in range(n)] + [" ".join(["x", *item[1:-1], "y"])]
+    rows, at = words(pa.array(texts))
+    assert index.leaks(rows, at) == {k: {0: n - 1} for k in range(n)}
