@@ -77,18 +77,44 @@ def structure_word(tokens: DataFrame, strict: bool = False) -> DataFrame:
     return out.select("sent_id", word.alias("word"), "c.pos", "c.rule")
 
 
-def question_word(tokens: DataFrame, gold: DataFrame) -> DataFrame:
-    """sent_id, word, pos: the first token whose text or lemma is the gold word, ignoring case; null if there is none."""
+def question_word(tokens: DataFrame, gold: DataFrame, strict: bool = False) -> DataFrame:
+    """sent_id, word, pos: the first token whose text or lemma is the gold word, ignoring case; null if there is none.
+
+    With ``strict`` the run fails on a sentence that has no such token.
+    """
     low = F.lower("word")
     by_text, by_lemma = F.lower("text") == low, F.col("lemma") == low
     hit = F.when(by_text, F.struct(F.col("text").alias("word"), F.col("xpos").alias("pos"))).when(by_lemma, F.struct(F.col("lemma").alias("word"), F.col("xpos").alias("pos")))
     found = gold.join(tokens, "sent_id").groupBy("sent_id").agg(F.min_by(hit, F.when(hit.isNotNull(), F.struct("sub_sent", "idx"))).alias("q"))
-    return gold.select("sent_id").join(found, "sent_id", "left").select("sent_id", "q.word", "q.pos")
+    word = F.col("q.word")
+    if strict:
+        word = F.when(word.isNotNull(), word).otherwise(F.raise_error(F.lit("a gold word is no token of its sentence")).cast("string"))
+    return gold.select("sent_id").join(found, "sent_id", "left").select("sent_id", word.alias("word"), "q.pos")
+
+
+def validated_gold(sentences: DataFrame, gold: DataFrame, strict: bool = False) -> DataFrame:
+    """sent_id, text, word, ok: whether the gold word occurs in its sentence as a word.
+
+    With ``strict`` the run fails on a sentence without a gold word, a gold word without its
+    sentence, and one that does not occur in it.
+    """
+    if not strict:
+        return sentences.join(gold, "sent_id").withColumn("ok", contains_word(F.col("text"), F.col("word")))
+    both = sentences.join(gold, "sent_id", "full")
+    ok = F.coalesce(contains_word(F.col("text"), F.col("word")), F.lit(False))
+    return both.withColumn("ok", F.when(ok, ok).otherwise(F.raise_error(F.concat(F.lit("no gold word in sentence "), F.col("sent_id").cast("string"))).cast("boolean")))
+
+
+def words_pos(tokens: DataFrame) -> DataFrame:
+    """sent_id, words: the tokens of each sentence in order, as (word, pos)."""
+    ordered = F.array_sort(F.collect_list(F.struct("sub_sent", "idx", F.col("text").alias("word"), F.col("xpos").alias("pos"))))
+    return tokens.groupBy("sent_id").agg(F.transform(ordered, lambda t: F.struct(t["word"].alias("word"), t["pos"].alias("pos"))).alias("words"))
 
 
-def validated_gold(sentences: DataFrame, gold: DataFrame) -> DataFrame:
-    """sent_id, text, word, ok: whether the gold word occurs in its sentence as a word."""
-    return sentences.join(gold, "sent_id").withColumn("ok", contains_word(F.col("text"), F.col("word")))
+def dependencies(edges_: DataFrame) -> DataFrame:
+    """sent_id, edges: the edges of each sentence in order, as (rel, head, dep)."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep")))
+    return edges_.groupBy("sent_id").agg(F.transform(ordered, lambda e: F.struct(e["rel"].alias("rel"), e["head"].alias("head"), e["dep"].alias("dep"))).alias("edges"))
 
 
 def edge_positions(edges_: DataFrame, words: DataFrame, prefix: str) -> DataFrame:

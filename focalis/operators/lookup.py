@@ -1,7 +1,9 @@
 """Which rules fire for a sentence, and the words they lead to.
 
 A rule fires if its whole antecedent lies in the sentence's condition set. Sentences are
-(sent_id, c); candidate words are (sent_id, item, word, pos).
+(sent_id, c), each id once; candidate words are (sent_id, item, word, pos). A null or empty
+condition set fires nothing, an item that comes twice counts once, and of a word that several
+items lead to the best place counts. Without rules or sentences there are no matches.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ def match_by_counting(sentences: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.select("sent_id", "antecedent").join(rules.select("antecedent", "decision", "confidence", "support"), "antecedent")
 
 
+def match_by_index(sentences: DataFrame, index: DataFrame) -> DataFrame:
+    """The same from ``postings``, as they were written: items are joined with the index and counted for each rule."""
+    items = sentences.select("sent_id", F.explode(F.array_distinct("c")).alias("item"))
+    hit = items.join(index, "item").groupBy("sent_id", "antecedent", "decision", "confidence", "support", "k").agg(F.count("*").alias("n"))
+    return hit.filter("n = k").select("sent_id", "antecedent", "decision", "confidence", "support")
+
+
 def match_by_containment(sentences: DataFrame, rules: DataFrame) -> DataFrame:
     """The same, by testing containment: joined on the antecedent's first item, so no rule meets a sentence without it."""
     left = sentences.select("sent_id", "c", F.explode(F.array_distinct("c")).alias("_first"))

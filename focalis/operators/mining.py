@@ -4,6 +4,9 @@ Transactions are compacted first: equal (c, d) pairs become one row with a weigh
 are sums of weights. Categorical tables repeat heavily, so subsets are only enumerated for
 distinct rows. Items at or below the support threshold are taken out before enumeration, which
 changes no rule because no set occurs more often than its items.
+
+A run fails on a transaction whose condition or decision set is empty or null. Repeated rows
+count as often as they occur; no transactions give no rules. Only the columns c, d and w are read.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import written
+
 MAX_ITEMS = 20  # of a condition set after pruning; more would give over a million subsets a row
-MAX_PRUNING_ITEMS = 10_000  # frequent items that are handed to every task; with more, nothing is pruned
+FEW_ITEMS = 1_000  # frequent items that are handed to every task as one array; more are joined
 
 
 def validated(transactions: DataFrame) -> DataFrame:
@@ -30,9 +35,9 @@ def compact(transactions: DataFrame) -> DataFrame:
 
 
 def _distinct_rows(transactions: DataFrame, keep: bool = True) -> DataFrame:
-    """Compacted transactions, kept for the several counts that read them (in memory, or on disk where that is short)."""
+    """Compacted transactions, written once for the several counts that read them; nothing stays in the session's cache."""
     rows = compact(validated(transactions))
-    return rows.persist() if keep else rows
+    return written(rows, "transactions") if keep else rows
 
 
 def subsets(items: Column) -> Column:
@@ -42,12 +47,21 @@ def subsets(items: Column) -> Column:
     return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
 
 
-def pruned(compacted: DataFrame, min_support: int) -> DataFrame:
-    """Condition items that occur ``min_support`` times or less taken out, rows compacted again."""
-    counts = compacted.select(F.explode("c").alias("x"), "w").groupBy("x").agg(F.sum("w").alias("n")).filter(F.col("n") > min_support)
-    frequent = counts.select("x").limit(MAX_PRUNING_ITEMS + 1).agg(F.collect_list("x").alias("xs")).select("xs")
-    keep = F.when(F.size("_xs") > MAX_PRUNING_ITEMS, F.col("c")).otherwise(F.array_sort(F.array_intersect("c", "_xs")))
-    return compact(compacted.withColumn("_xs", frequent.scalar()).select(keep.alias("c"), "d", "w"))
+def pruned(compacted: DataFrame, min_support: int, few: int = FEW_ITEMS) -> DataFrame:
+    """Condition items that occur ``min_support`` times or less taken out, rows compacted again.
+
+    A few frequent items go to every task as an array. Many are joined with the items of the rows;
+    Spark broadcasts them or splits hot ones, by size.
+    """
+    if min_support <= 0:
+        return compacted
+    items = compacted.select(F.explode("c").alias("x"), "w")
+    frequent = written(items.groupBy("x").agg(F.sum("w").alias("n")).filter(F.col("n") > min_support).select("x"), "frequent-items")
+    if frequent.limit(few + 1).count() <= few:
+        held = compacted.withColumn("_xs", frequent.agg(F.collect_list("x").alias("xs")).scalar())
+        return compact(held.select(F.array_sort(F.array_intersect("c", "_xs")).alias("c"), "d", "w"))
+    kept = compacted.select("c", "d", "w", F.explode("c").alias("x")).join(frequent, "x")
+    return compact(kept.groupBy("c", "d", "w").agg(F.array_sort(F.collect_set("x")).alias("kept")).select(F.col("kept").alias("c"), "d", "w"))
 
 
 def antecedents(compacted: DataFrame) -> DataFrame:
@@ -63,6 +77,19 @@ def itemset_counts(transactions: DataFrame) -> DataFrame:
     return total.join(beside, "antecedent")
 
 
+def itemset_members(transactions: DataFrame) -> DataFrame:
+    """antecedent, tid: the transactions that contain each itemset, a row for each pair."""
+    return validated(transactions).select(F.explode(subsets(F.col("c"))).alias("antecedent"), "tid").distinct()
+
+
+def merged_members(a: DataFrame, b: DataFrame, one: bool = False) -> DataFrame:
+    """The members of both, each once; with ``one`` both have to be of one and the same itemset, or ValueError is raised."""
+    both = a.unionByName(b).distinct()
+    if one and len(both.select("antecedent").distinct().limit(2).collect()) > 1:
+        raise ValueError("the members belong to different itemsets")
+    return both
+
+
 def frequent_antecedents(transactions: DataFrame, min_support: int) -> DataFrame:
     """antecedent, n for all that occur more than ``min_support`` times."""
     rows = antecedents(pruned(_distinct_rows(transactions), min_support))
@@ -72,7 +99,7 @@ def frequent_antecedents(transactions: DataFrame, min_support: int) -> DataFrame
 def rule_counts(transactions: DataFrame, min_support: int = 0, keep: bool = True) -> DataFrame:
     """antecedent, decision, n_ad, n_a, n for all pairs above the threshold: all that any rule above it needs.
 
-    ``keep`` caches the distinct rows; without it the input is read for each count.
+    ``keep`` writes the distinct rows once; without it the input is read for each count.
     """
     whole = _distinct_rows(transactions, keep)
     rows = antecedents(pruned(whole, min_support))

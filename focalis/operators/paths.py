@@ -2,16 +2,21 @@
 
 Nodes are word texts, so repeated words are one node; every edge can be walked both ways. The
 edges of one sentence are gathered in one row (a sentence is small) and searched breadth first,
-a batch of sentences at a time.
+a batch of sentences at a time. There may be very many paths between two words (each of several
+parallel edges gives its own): they are walked one by one and handed on in batches, and
+``path_graph`` gives, instead of the paths, the edges that they are made of and their number.
+
+Nulls: an edge without a head or dependent, and a pair without a source, are left out. Repeated
+edges are edges of their own; repeated pairs count once; sentences without edges have no paths.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features
@@ -22,23 +27,82 @@ STEP, JOINT, FORTH, BACK = "[%s：%s]", " --> ", "-->", "<--"
 BATCH = 10_000
 
 
-def shortest(edges: list[tuple[str, str, str]], source: str, target: str | None = None) -> dict[str, list[str]]:
-    """For each node other than ``source`` (or ``target`` alone) its shortest paths as text; unreachable nodes are left out."""
+def _layers(edges: list[tuple[str, str, str]], source: str, target: str | None) -> tuple[dict[str, int], dict[str, list[tuple[str, str]]]]:
+    """Distances from the source (up to the target's), in the order in which nodes are met, and the steps of each node."""
     graph: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for rel, head, dep in edges:
-        graph[head].append((dep, STEP % (rel, FORTH)))
-        graph[dep].append((head, STEP % (rel, BACK)))
-    layer, seen, out = {source: [[]]}, {source}, {}
-    while layer and (target is None or target not in out):
-        later: dict[str, list[list[str]]] = defaultdict(list)
-        for node, paths in layer.items():
-            for other, step in graph.get(node, ()):
-                if other not in seen:
-                    later[other] += [[*p, step] for p in paths]
-        seen |= later.keys()
-        out |= {node: [JOINT.join(p) for p in paths] for node, paths in later.items()}
+        if head is not None and dep is not None:
+            graph[head].append((dep, STEP % (rel, FORTH)))
+            graph[dep].append((head, STEP % (rel, BACK)))
+    far, layer = {source: 0}, [source]
+    while layer and target not in far:
+        later = []
+        for node in layer:
+            for other, _ in graph.get(node, ()):
+                if other not in far:
+                    far[other] = far[node] + 1
+                    later.append(other)
         layer = later
-    return out if target is None else {k: v for k, v in out.items() if k == target}
+    return far, graph
+
+
+def _walks(far: dict[str, int], graph: dict[str, list[tuple[str, str]]], source: str, target: str) -> Iterator[str]:
+    """The shortest paths to one node as text, one after the other; memory is bounded by the graph."""
+    leads, todo = {target}, [target]  # nodes on the way
+    while todo:
+        node = todo.pop()
+        for other, _ in graph.get(node, ()):
+            if far.get(other, -2) == far[node] - 1 and other not in leads:
+                leads.add(other)
+                todo.append(other)
+    path: list[str] = []
+    at = [iter(graph.get(source, ()))]
+    node_far = [0]
+    while at:
+        for other, step in at[-1]:
+            if other in leads and far[other] == node_far[-1] + 1:
+                if other == target:
+                    yield JOINT.join([*path, step])
+                    continue
+                path.append(step)
+                at.append(iter(graph[other]))
+                node_far.append(far[other])
+                break
+        else:
+            at.pop()
+            node_far.pop()
+            if path:
+                path.pop()
+
+
+def walked(edges: list[tuple[str, str, str]], source: str, target: str | None = None) -> Iterator[tuple[str, str]]:
+    """(node, path) of all shortest paths from ``source``, to ``target`` or to each other node that can be reached."""
+    far, graph = _layers(edges, source, target)
+    for node in far if target is None else (n for n in far if n == target):
+        if node != source:
+            for path in _walks(far, graph, source, node):
+                yield node, path
+
+
+def shortest(edges: list[tuple[str, str, str]], source: str, target: str | None = None) -> dict[str, list[str]]:
+    """The same, gathered by node."""
+    out: dict[str, list[str]] = {}
+    for node, path in walked(edges, source, target):
+        out.setdefault(node, []).append(path)
+    return out
+
+
+def graph_of(edges: list[tuple[str, str, str]], source: str) -> Iterator[tuple[str, str, str, int, float]]:
+    """(node, before, step, steps from the source, number of shortest paths to the node) for each edge that ends a shortest path."""
+    far, graph = _layers(edges, source, None)
+    number = {source: 1.0}
+    for node in far:  # by distance
+        if node != source:
+            before = [(other, back) for other, back in graph[node] if far[other] == far[node] - 1]
+            number[node] = sum(number[other] for other, _ in before)
+            for other, back in before:
+                step = back.replace(FORTH, BACK) if FORTH in back else back.replace(BACK, FORTH)
+                yield node, other, step, far[node], number[node]
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -46,15 +110,43 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A target equal to the source has no rows; nor has one that cannot be reached.
     """
+    def rows(triples: list, source: str, target: str | None) -> Iterator[tuple]:
+        last, i = None, 0
+        for node, path in walked(triples, source, target):
+            i = i + 1 if node == last else 0
+            last = node
+            yield source, node, i, path
+
+    return _searched(edges, pairs, rows, "source string, target string, ord long, path string")
+
+
+def path_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sent_id, source, node, before, step, steps, n_paths: the last edges of all shortest paths from each source.
+
+    Following ``before`` back to the source lists the paths; there are ``n_paths`` (as a double) to
+    a node. As many rows as edges at most, however many paths they make. ``pairs``: sent_id, source.
+    """
+
+    def rows(triples: list, source: str, target: str | None) -> Iterator[tuple]:
+        for row in graph_of(triples, source):
+            yield source, *row
+
+    asked = pairs.select("sent_id", "source", F.lit(None).cast("string").alias("target"))
+    return _searched(edges, asked, rows, "source string, node string, before string, step string, steps long, n_paths double")
+
+
+def _searched(edges: DataFrame, pairs: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    """sent_id and the columns that ``rows`` gives for each pair of a sentence."""
     packed = edges.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep"))).alias("edges"))
-    wanted = pairs.groupBy("sent_id").agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
-    rows = wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
+    wanted = pairs.filter("source is not null").groupBy("sent_id").agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
+    ready = wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
+    names = ["sent_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
 
         def taken() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["sent_id", "source", "target", "ord", "path"])
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
             out.clear()
             return made
 
@@ -62,22 +154,28 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             for sent, found, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 triples = [(e["rel"], e["head"], e["dep"]) for e in found]
                 for p in asked:
-                    for target, paths in shortest(triples, p["source"], p["target"]).items():
-                        out += [(sent, p["source"], target, i, path) for i, path in enumerate(paths)]
+                    for row in rows(triples, p["source"], p["target"]):
+                        out.append((sent, *row))
                         if len(out) >= BATCH:
                             yield taken()
         if out:
             yield taken()
 
-    return rows.mapInArrow(run, "sent_id long, source string, target string, ord long, path string")
+    return ready.mapInArrow(run, f"sent_id long, {schema}")
 
 
-def from_structure_word(sentences: DataFrame, tokens: DataFrame, gold: DataFrame | None = None) -> DataFrame:
-    """sent_id, word, path: the paths from the structure word to the gold word, or to every other word if there is no ``gold``.
+def by_sentence(found: DataFrame) -> DataFrame:
+    """sent_id, paths: the paths of each sentence in one array, in text order."""
+    return found.groupBy("sent_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
-    ``How many`` starts at ``How``, or at ``how`` in a sentence that has no ``How``.
-    """
-    start = F.when((F.col("word") == features.HOW_MANY) & ~F.col("text").contains("How"), "how").otherwise(features.located(F.col("word")))
-    sources = features.structure_word(tokens).filter("word is not null").join(sentences, "sent_id").select("sent_id", start.alias("source"))
+
+def start_of(word: Column, text: Column) -> Column:
+    """Where the paths of a sentence start: its structure word; ``How many`` at ``How``, or at ``how`` where the text has no ``How``."""
+    return F.when((word == features.HOW_MANY) & ~text.contains("How"), "how").otherwise(features.located(word))
+
+
+def from_structure_word(sentences: DataFrame, tokens: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """sent_id, word, path: the paths from the structure word to the gold word, or to every other word if there is no ``gold``."""
+    sources = features.structure_word(tokens).filter("word is not null").join(sentences, "sent_id").select("sent_id", start_of(F.col("word"), F.col("text")).alias("source"))
     pairs = sources.withColumn("target", F.lit(None).cast("string")) if gold is None else sources.join(gold.select("sent_id", F.col("word").alias("target")), "sent_id")
     return shortest_paths(features.edges(tokens), pairs).select("sent_id", F.col("target").alias("word"), "path")

@@ -1,12 +1,16 @@
-"""Long, wide and encoded forms of categorical records."""
+"""Long, wide and encoded forms of categorical records.
+
+Null cells are no items; a null name or value has a null id; repeated rows stay repeated in long
+forms and count in weights. Helper columns (``_w``) must not be names of the input's columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.items import is_decision, item
+from .datasets import numbered
 
 
 def unpivot(wide: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -56,16 +60,12 @@ def from_long(long: DataFrame, tid: str) -> DataFrame:
 
 
 def dictionary(long: DataFrame) -> DataFrame:
-    """str, id: one numbering of all names and values, from 0 in string order.
+    """str, id: one numbering of all names and values, from 0 in the order of their bytes.
 
-    Ids come from counts by the first two bytes and ranks within them, so no task ranks the
-    whole dictionary.
+    Range partitions are ranked one by one, so no task ranks the whole dictionary or all strings of a kind.
     """
     strings = long.select(F.explode(F.array("name", "value")).alias("str")).filter("str is not null").distinct()
-    strings = strings.withColumn("head", F.hex(F.substring(F.encode("str", "utf-8"), 1, 2)))
-    before = strings.groupBy("head").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("head").orderBy("str"))
-    return strings.withColumn("rank", rank).join(F.broadcast(before), "head").select("str", (F.col("before") + F.col("rank") - 1).alias("id"))
+    return numbered(strings, ["str"], "id").select("str", "id")
 
 
 def encode(long: DataFrame, words: DataFrame) -> DataFrame:

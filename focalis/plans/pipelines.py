@@ -64,6 +64,40 @@ def write_cleaned(cleaned: DataFrame, path: str) -> None:
     cleaned.select(writers.cleaned_json(F.col("items"), F.col("words"), F.col("id")).alias("value")).write.mode("overwrite").text(path)
 
 
+class Cleaner:
+    """Turns raw questions into what mining or lookup reads. Subclasses give ``clean``; instances fit ``DataFrame.transform``."""
+
+    def clean(self, questions: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def __call__(self, questions: DataFrame) -> DataFrame:
+        return self.clean(questions)
+
+
+class TrainCleaner(Cleaner):
+    """Questions with their gold words to the wide training table; with ``strict`` a gold word outside its sentence fails the run."""
+
+    def __init__(self, parser=None, strict: bool = False):
+        self.parser, self.strict = parser, strict
+
+    def clean(self, questions: DataFrame) -> DataFrame:
+        if self.strict:
+            gold = questions.select(F.col("id").alias("sent_id"), F.col("question_word").alias("word"))
+            ok = features.validated_gold(_sentences(questions), gold, strict=True).filter("ok").select(F.col("sent_id").alias("id"))
+            questions = questions.join(ok, "id", "left_semi")
+        return training_wide(questions, self.parser)
+
+
+class QueryCleaner(Cleaner):
+    """Questions to cleaned query sentences."""
+
+    def __init__(self, parser=None, nested_keys: bool = False):
+        self.parser, self.nested_keys = parser, nested_keys
+
+    def clean(self, questions: DataFrame) -> DataFrame:
+        return cleaned_queries(questions, self.parser, self.nested_keys)
+
+
 def query_frames(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sentences and candidates, as lookup takes them, from cleaned sentences; text that is no item is left out."""
     parsed = F.filter(F.transform("items", parse_item), lambda x: x.isNotNull())

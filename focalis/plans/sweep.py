@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup, mining
+from ..store import written
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def swept_accuracy(counts: DataFrame, grid: list[tuple[int, float]], sentences:
     # a sentence counts in every cell, also where none of its rules is in that cell
     truth = gold.withColumn("w", F.col("w") if "w" in gold.columns else F.lit(1).cast("long"))
     total = truth.agg(F.sum("w")).scalar()
-    hit = words.join(truth.select("sent_id", F.col("word").alias("_gold"), "w"), "sent_id").filter("word = _gold").groupBy("experiment_id", "sent_id", "w").agg(F.min("rank").alias("hit"))
+    hit = words.join(truth.select("sent_id", F.col("word").alias("_gold"), "w"), "sent_id").filter("word = _gold").groupBy("experiment_id", "sent_id", "_gold", "w").agg(F.min("rank").alias("hit"))
     sums = hit.select("experiment_id", "w", F.explode(F.sequence(F.col("hit"), F.lit(k))).alias("k")).groupBy("experiment_id", "k").agg(F.sum("w").alias("correct"))
     every = cells(counts.sparkSession, grid).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k))))
     out = every.join(F.broadcast(sums), ["experiment_id", "k"], "left").withColumn("total", total).withColumn("correct", F.coalesce("correct", F.lit(0)).cast("long"))
@@ -74,17 +76,44 @@ def report(accuracy: DataFrame) -> DataFrame:
 
 
 def timed_lookup(counts: DataFrame, grid: list[tuple[int, float]], sentences: DataFrame) -> DataFrame:
-    """Seconds of lookup by counting and by containment for each cell: min_support, min_confidence, n_rules, containment_s, counting_s."""
-    rows = []
+    """Seconds of each cell: min_support, min_confidence, n_rules, n_sentences, step, seconds, per_sentence.
+
+    Steps are ``index build``, ``sequential`` (by containment) and ``indexed`` (by counting). Rules
+    and sentences are written before the clock runs, the index in its own step.
+    """
+    spark = counts.sparkSession
+    counts, sentences = written(counts, "timed-counts"), written(sentences, "timed-sentences")
+    n_sentences, rows = sentences.count(), []
+    n_rules = {(r[0], r[1]): r[2] for r in swept_rules(counts, grid).groupBy("min_support", "min_confidence").count().collect()}  # a row a cell
+
+    def timed(f: Callable):
+        began = time.perf_counter()
+        out = f()
+        return time.perf_counter() - began, out
+
     for s, c in grid:
         found = mining.rules(counts, s, c)
-        took = []
-        for way in (lookup.match_by_containment, lookup.match_by_counting):
-            began = time.perf_counter()
-            way(sentences, found).write.format("noop").mode("overwrite").save()
-            took.append(time.perf_counter() - began)
-        rows.append((s, c, found.count(), *took))
-    return counts.sparkSession.createDataFrame(rows, "min_support long, min_confidence double, n_rules long, containment_s double, counting_s double")
+        build, index = timed(lambda: written(lookup.postings(found), "timed-index"))  # noqa: B023
+        sequential, _ = timed(lambda: lookup.match_by_containment(sentences, found).write.format("noop").mode("overwrite").save())  # noqa: B023
+        indexed, _ = timed(lambda: lookup.match_by_index(sentences, index).write.format("noop").mode("overwrite").save())  # noqa: B023
+        n = n_rules.get((s, c), 0)
+        rows += [(s, c, n, n_sentences, step, x, None if step == "index build" else x / max(n_sentences, 1)) for step, x in (("index build", build), ("sequential", sequential), ("indexed", indexed))]
+    return spark.createDataFrame(rows, "min_support long, min_confidence double, n_rules long, n_sentences long, step string, seconds double, per_sentence double")
+
+
+def all_cells() -> list[tuple[int, float]]:
+    """The cells of all experiments, each once."""
+    return sorted({cell for grid in EXPERIMENTS.values() for cell in grid.cells()})
+
+
+def experiments_accuracy(counts: DataFrame, sentences: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """experiment and the columns of ``report`` for every cell of every experiment's grid, from one sweep over the cells of all."""
+    spark, every = counts.sparkSession, all_cells()
+    number = {cell: i for i, cell in enumerate(every, 1)}
+    asked = [(name, i, number[cell], k) for name, grid in EXPERIMENTS.items() for i, cell in enumerate(grid.cells(), 1) for k in range(1, grid.k + 1)]
+    found = report(swept_accuracy(counts, every, sentences, candidates, gold, max(g.k for g in EXPERIMENTS.values()))).withColumnRenamed("experiment_id", "cell")
+    wanted = spark.createDataFrame(asked, "experiment string, experiment_id int, cell int, i int")
+    return wanted.join(found, ["cell", "i"]).drop("cell")
 
 
-__all__ = ["EXPERIMENTS", "Grid", "cells", "report", "swept_accuracy", "swept_rules", "timed_lookup"]
+__all__ = ["EXPERIMENTS", "Grid", "all_cells", "cells", "experiments_accuracy", "report", "swept_accuracy", "swept_rules", "timed_lookup"]

@@ -1,6 +1,7 @@
 """Spreadsheets (Office Open XML) with the standard library alone: the first sheet, as strings.
 
-Spreadsheets are small by their format (1,048,576 rows); each file is read by one task.
+Spreadsheets are small by their format (1,048,576 rows); each file is read by one task. Empty cells
+are null; a file without a sheet's row has no columns and no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..store import write_bytes
+
 MAX_ROWS = 1_048_576
+CHUNK = 10_000
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -54,28 +58,65 @@ def rows_of(data: bytes) -> Iterator[list[str | None]]:
                 row.clear()
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a file, its first row as column names, all columns nullable strings."""
-    binary = spark.read.format("binaryFile").load(path).select("content")
+def _heads(rows: Iterator[list[str | None]]) -> list[str]:
+    """Column names of a sheet: those of its first row, and a made one for each cell beyond; a name that comes again gets a number."""
+    first, widest = next(rows, []), 0
+    for r in rows:
+        widest = max(widest, len(r))
+    names: list[str] = []
+    for i in range(max(len(first), widest)):
+        name = (first[i] if i < len(first) else None) or f"_c{i}"
+        k, made = 0, name
+        while made.lower() in {n.lower() for n in names}:
+            k += 1
+            made = f"{name}.{k}"
+        names.append(made)
+    return names
+
+
+def read_xlsx(spark: SparkSession, path: str, file_column: str | None = None) -> DataFrame:
+    """The first sheet of each file of a path, its first row as column names, all columns nullable strings.
 
-    def first_row(frames):
+    Files may have different columns: all of them are columns of the result, null for rows of files
+    that lack them. ``file_column`` names a column for the file's path.
+    """
+    binary = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def look(frames):
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame({"names": [next(rows_of(bytes(data)), []) for data in frame.content]})
+            yield pd.DataFrame({"path": frame.path, "names": [_heads(rows_of(bytes(data))) for data in frame.content]})
 
-    head = binary.mapInPandas(first_row, "names array<string>").first()
-    names = [n or f"_c{i}" for i, n in enumerate(head.names)]
+    # a row a file; the files are listed by the driver as it is
+    heads = {r.path: r.names for r in binary.mapInPandas(look, "path string, names array<string>").orderBy("path").collect()}
+    first: dict[str, str] = {}
+    for own in heads.values():
+        for n in own:
+            first.setdefault(n.lower(), n)
+    names, place = list(first.values()), {n: i for i, n in enumerate(first)}
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            for data in frame.content:
-                rows = list(rows_of(bytes(data)))[1:]
-                yield pd.DataFrame([(r + [None] * len(names))[: len(names)] for r in rows], columns=names, dtype=object)
-
-    return binary.mapInPandas(run, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+            for file, data in zip(frame.path, frame.content):
+                to = [place[n.lower()] for n in heads[file]]
+                rows, out = rows_of(bytes(data)), []
+                next(rows, None)
+                for r in rows:
+                    row: list[str | None] = [None] * len(names)
+                    for i, x in zip(to, r):
+                        row[i] = x
+                    out.append((*row, file))
+                    if len(out) == CHUNK:
+                        yield pd.DataFrame(out, columns=[*names, "_file"], dtype=object)
+                        out = []
+                yield pd.DataFrame(out, columns=[*names, "_file"], dtype=object)
+
+    fields = [T.StructField(n, T.StringType()) for n in [*names, "_file"]]
+    rows = binary.mapInPandas(run, T.StructType(fields))
+    return rows.withColumnRenamed("_file", file_column) if file_column else rows.drop("_file")
 
 
 def xlsx_bytes(names: list[str], rows: list[tuple]) -> bytes:
@@ -97,9 +138,8 @@ def xlsx_bytes(names: list[str], rows: list[tuple]) -> bytes:
 
 
 def write_xlsx(df: DataFrame, path: str) -> None:
-    """A report as a workbook on the driver's disk; a frame of more rows than a sheet holds is refused."""
+    """A report as a workbook, written by the driver to any store that Spark knows; more rows than a sheet holds are refused."""
     rows = df.limit(MAX_ROWS).collect()
     if len(rows) == MAX_ROWS:
         raise ValueError(f"a sheet holds {MAX_ROWS - 1} rows")
-    with open(path.removeprefix("file://"), "wb") as out:
-        out.write(xlsx_bytes(df.columns, [tuple(r) for r in rows]))
+    write_bytes(df.sparkSession, path, xlsx_bytes(df.columns, [tuple(r) for r in rows]))

@@ -43,3 +43,36 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, as Spark sees it, and the path in it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, there = _hadoop(spark, path)
+    return store.exists(there)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, in order; none if there is no such folder."""
+    store, there = _hadoop(spark, folder)
+    return sorted(f.getPath().getName() for f in store.listStatus(there)) if store.exists(there) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, there = _hadoop(spark, path)
+    store.delete(there, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file written by the driver, in whatever store the path names."""
+    store, there = _hadoop(spark, path)
+    out = store.create(there, True)
+    try:
+        for k in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[k : k + (1 << 20)]))
+    finally:
+        out.close()
