@@ -6,11 +6,21 @@ line feed between two visible Latin characters, and between a Latin letter and A
 punctuation other than an apostrophe. The library encodes each distinct chunk; a text's ids
 are those of its chunks. Texts in which ``<|`` occurs may hold a special token and go to the
 library whole.
+
+New chunks are handed over many at a time, joined by a separator, if they begin and end with a
+visible Latin character (one blank may come first) and the separators come back as often as they
+were put in; all others, such as those that begin or end with other white space, go one by one. Chunks
+are known by a 64-bit hash of their bytes and length; those of over ``LONGEST`` bytes, for which
+such hashes can be made to collide, are encoded each time.
+
+Defined results: a null text has no ids; texts of any length, repeats and any characters give the
+library's ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -22,6 +32,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_CHUNKS = 1_000_000  # a worker forgets its chunks beyond this number; results do not depend on it
 WINDOW = 1 << 20
+LONGEST = 64
+_SAFE = re.compile("(?s) ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff](?:.*[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])?")
 _TABLE = 1 << 21
 _MASK = np.uint64(_TABLE - 1)
 
@@ -56,6 +68,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower, self.separator = Tokenizer.from_file(path), lower, separator
+        self.once = np.uint64(0)
         (self.mark,) = self.tokenizer.encode(separator, add_special_tokens=False).ids
         self._forget()
 
@@ -115,18 +128,22 @@ class Encoder:
         return np.flatnonzero(start)
 
     def _ids(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids of chunks: many at a time, kept apart by a separator that is always a pre-token of its own."""
+        """The library's ids of chunks: many at a time where a separator between them is surely a pre-token of its own."""
         sep, mark = self.separator, self.mark
-        plain = [i for i, x in enumerate(chunks) if sep not in x]
+        plain = [i for i, x in enumerate(chunks) if sep not in x and _SAFE.fullmatch(x)]
+        rest = set(range(len(chunks))).difference(plain)
         out: list[list[int]] = [[]] * len(chunks)
         joined = [sep.join(chunks[i] for i in plain[k : k + 64]) for k in range(0, len(plain), 64)]
         for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids, own, p = found.ids, plain[64 * k : 64 * k + 64], 0
+            if ids.count(mark) != len(own) - 1:
+                rest.update(own)
+                continue
             for i in own[:-1]:
                 q = ids.index(mark, p)
                 out[i], p = ids[p:q], q + 1
             out[own[-1]] = ids[p:]
-        other = [i for i, x in enumerate(chunks) if sep in x]
+        other = sorted(rest)
         for i, found in zip(other, self.tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False)):
             out[i] = found.ids
         return out
@@ -155,7 +172,11 @@ class Encoder:
         run = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[raw] * up[: len(raw)], out=run[1:])
         key = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start > LONGEST)
+        key[long] = mix(self.once + np.arange(1, len(long) + 1, dtype=np.uint64))  # names that are used once
+        self.once += np.uint64(len(long))
         slot = self._find(key)
+        slot[long] = 0
         missing = np.flatnonzero(slot == 0)
         if len(missing):
             if self.count + len(missing) > CACHE_CHUNKS:
