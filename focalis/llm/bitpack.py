@@ -9,15 +9,22 @@ first, where ``bits`` is the least that the vocabulary needs. The index holds th
 the block offsets, and each document's id and the place of its first id, so any run of ids is
 unpacked with numpy after reading its blocks alone.
 
+Documents are dealt to shards by id, then by a hash of the text, then by their place in the input
+(which has to be the same whenever it is read, as that of files is), so many rows with one id, none or
+one text do not make one shard. A task holds fewer than ``BLOCK`` ids and the rows of a slice;
+packed blocks go straight to the file.
+
 Defined results: a null or empty text is the end id alone; a null ``doc_id`` sorts first and
-comes back as null; repeated rows are separate documents, ordered by text; no rows give no
-shard; other columns are not read.
+comes back as null; repeated rows are separate documents, those of one id in the order of a hash of
+their text; texts may be of any length; no rows give no shard; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import Encoder, default_path
-from .shared import filesystem, fresh, put, written
+from .shared import filesystem, fresh, new_file, written
 from .words import slices
 
 MAGIC = b"FBPK"
 BLOCK = 1 << 16
 ROWS_PER_SHARD = 10_000
+SHARD_BYTES = 64 << 20  # of text on average, at most
 
 
 def width(vocabulary: int) -> int:
@@ -54,14 +62,15 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class Writer:
-    """Gathers the bytes of one shard; holds packed blocks and fewer than BLOCK loose ids."""
+    """Writes one shard to a stream as ids come in; holds fewer than BLOCK loose ids."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.offsets, self.at, self.total = bits, [MAGIC], [], len(MAGIC), 0
+    def __init__(self, bits: int, out):
+        self.bits, self.out, self.offsets, self.at, self.total = bits, out, [], len(MAGIC), 0
         self.loose: list[np.ndarray] = []
         self.waiting = 0
         self.docs: list[int | None] = []
         self.starts: list[np.ndarray] = []
+        out.write(MAGIC)
 
     def add(self, docs: list[int | None], ids: np.ndarray, at: np.ndarray) -> None:
         if not len(docs):
@@ -76,15 +85,15 @@ class Writer:
             while len(held) - p >= BLOCK:
                 self._block(held[p : p + BLOCK])
                 p += BLOCK
-            self.loose, self.waiting = [held[p:]], len(held) - p
+            self.loose, self.waiting = [held[p:].copy()], len(held) - p
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
         self.offsets.append(self.at)
-        self.parts.append(data)
+        self.out.write(data)
         self.at += len(data)
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> None:
         if self.waiting:
             self._block(np.concatenate(self.loose))
         starts = np.concatenate([*self.starts, [self.total]]).astype("<i8")
@@ -96,7 +105,8 @@ class Writer:
             np.array([d or 0 for d in self.docs], "<i8").tobytes(),
             known.tobytes(),
         ))
-        return [*self.parts, index, struct.pack("<Q", len(index)), MAGIC]
+        for part in (index, struct.pack("<Q", len(index)), MAGIC):
+            self.out.write(part)
 
 
 class Reader:
@@ -141,25 +151,31 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, lower: bool = Fal
     """Encode ``docs`` and write the shards; returns the manifest (shard, uri, docs, ids), itself written."""
     spark = docs.sparkSession
     folder = fresh(spark, "packed-ids")
-    n = max(1, -(-docs.count() // rows_per_shard))
+    count, length = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n = max(1, -(-count // rows_per_shard), -(-length // SHARD_BYTES))
     size = vocabulary or _vocabulary(tokenizer)
     if not end_id < size:
         raise ValueError("the end id lies outside the vocabulary")
     bits = width(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, out, shard = Encoder.load(tokenizer, lower, separator), Writer(bits), TaskContext.get().partitionId()
-        for batch in batches:
-            for part in slices(batch):
+        coder, shard = Encoder.load(tokenizer, lower, separator), TaskContext.get().partitionId()
+        parts = (part for batch in batches for part in slices(batch))
+        first = next(parts, None)
+        if first is None:
+            return
+        uri = f"{folder}/shard-{shard:08d}.ids"
+        with new_file(uri) as file:
+            out = Writer(bits, file)
+            for part in chain([first], parts):
                 ids, at = with_end(*coder.encode(part.column(1)), end_id)
                 out.add(part.column(0).to_pylist(), ids, at)
-        if out.docs:
-            uri = f"{folder}/shard-{shard:08d}.ids"
-            put(uri, out.finish())
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "docs": pa.array([len(out.docs)], pa.int64()), "ids": pa.array([out.total], pa.int64())})
+            out.finish()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "docs": pa.array([len(out.docs)], pa.int64()), "ids": pa.array([out.total], pa.int64())})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("place"))
+    order = ("doc_id", "th", "place")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(rows.mapInArrow(run, "shard int, uri string, docs long, ids long"), "packed-manifest")
 
 

@@ -1,35 +1,17 @@
-"""The folder that driver and executors share, and file access to it."""
+"""File access on executors, to the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
 
+from ..store import fresh, shared_dir, unused, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder beside the warehouse is used and set."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        if "://" not in there and not there.startswith("file:"):
-            there = "file://" + there
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def fresh(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read back: what follows does not depend on how they were made."""
-    spark = df.sparkSession
-    path = fresh(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "fresh", "new_file", "shared_dir", "unused", "written"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -39,20 +21,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, data: bytes | list[bytes]) -> None:
-    """Write a file whole or not at all: a second attempt of the same task replaces it by equal bytes."""
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream to a file that is there whole or not at all: a second attempt of the same task replaces it by equal bytes."""
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(part) as out:
-        for x in [data] if isinstance(data, bytes) else data:
-            out.write(x)
+        yield out
     store.move(part, path)
-
-
-def unused(name: str, columns: list[str]) -> str:
-    """A column name that a table does not have yet, in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

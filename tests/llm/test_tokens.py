@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from focalis.llm import bitpack, encoding, packing
+from focalis.llm.shared import new_file
 
 WORD, BYTE = ("word_bpe_49k.json", True, "0"), ("byte_bpe_50k.json", False, "\n")
 
@@ -29,6 +30,37 @@ def test_encoder_is_the_library(name, lower, separator, monkeypatch):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+WHITE = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u200b", "\ufeff", "\u180e", "\x00", "\u0301", "\u200d", "\uff10"]
+
+
+@pytest.mark.parametrize("name,lower,separator", [WORD, BYTE])
+def test_white_space_at_the_ends_of_rows(name, lower, separator):
+    """Each kind of white space alone, before and after words, in every order of rows, as chunks that are learnt together."""
+    r = random.Random(8)
+    ends = [f"{a}{w}{b}" for w in WHITE for a, b in (("", ""), ("", " b"), ("", "b"), ("a", ""), ("a ", ""), ("", w), ("x", f"{w}y"), ("", "\n"), ("\n", "1"))]
+    ends += ["".join(r.choice([*WHITE, " ", "a", "é", "1", ".", "'"]) for _ in range(r.randint(1, 6))) for _ in range(600)]
+    for seed in range(4):
+        texts = ends + [f"word{i} and more" for i in range(200)]
+        random.Random(seed).shuffle(texts)
+        e = encoding.Encoder(encoding.default_path(name), lower, separator)
+        ids, at = e.encode(pa.array(texts, pa.string()))
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[p:q].tolist() for p, q in zip(at, at[1:])] == want
+
+
+@pytest.mark.parametrize("name,lower,separator", [WORD, BYTE])
+def test_long_chunks_that_hash_alike(name, lower, separator):
+    """Strings whose polynomial hashes modulo 2**64 are equal for any base are told apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    e = encoding.Encoder(encoding.default_path(name), lower, separator)
+    texts = [a, b, f"{a} {b}", b]
+    ids, at = e.encode(pa.array(texts))
+    assert [ids[p:q].tolist() for p, q in zip(at, at[1:])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids[at[0] : at[1]].tolist() != ids[at[1] : at[2]].tolist()
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 13, 16, 17, 20, 31, 32])
 def test_bit_widths(bits):
     v = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
@@ -41,12 +73,13 @@ def test_random_access(tmp_path):
     r = np.random.default_rng(1)
     ids = r.integers(0, 49408, 200_000).astype(np.uint32)
     for bits in (16, 17):
-        w = bitpack.Writer(bits)
-        for p in range(0, 200_000, 30_000):
-            part = ids[p : p + 30_000]
-            w.add([p], part, np.array([0, len(part)]))
         uri = f"file://{tmp_path}/x{bits}"
-        bitpack.put(uri, w.finish())
+        with new_file(uri) as out:
+            w = bitpack.Writer(bits, out)
+            for p in range(0, 200_000, 30_000):
+                part = ids[p : p + 30_000]
+                w.add([p], part, np.array([0, len(part)]))
+            w.finish()
         f = bitpack.Reader(uri)
         for a, b in ((0, 1), (65_535, 65_537), (10, 199_999), (5, 5), (131_072, 200_000)):
             assert (f.ids(a, b) == ids[a:b]).all()
@@ -55,8 +88,8 @@ def test_random_access(tmp_path):
 
 def expected(docs, name, end):
     t = Tokenizer.from_file(encoding.default_path(name))
-    rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
-    return [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x in rows]
+    rows = sorted((tuple(r) for r in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    return [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x, _ in rows]
 
 
 def test_token_files(spark, odd_docs, no_docs):
@@ -77,6 +110,20 @@ def test_shards_in_order(spark):
     assert [r.doc_id for r in rows] == list(range(300)) and rows[-1].start + rows[-1].n_tokens == m.agg({"ids": "sum"}).first()[0]
 
 
+def test_many_rows_of_one_id(spark):
+    """Rows without an id, and with one text, are many shards all the same."""
+    docs = spark.createDataFrame([(None, "the same text")] * 400 + [(7, f"t{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    m = bitpack.write_shards(docs, encoding.default_path("byte_bpe_50k.json"), 0, rows_per_shard=100)
+    assert m.agg({"docs": "sum"}).first()[0] == 800 and m.agg({"docs": "max"}).first()[0] < 250
+    rows = bitpack.read_shards(spark, m).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 400 + [7] * 400
+
+
+def test_rows_that_once_stopped_packing(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "\xa0"), (3, "\xa0 b"), (4, "\u3000"), (5, None)], "doc_id long, text string")
+    check_pieces(packing.pack_documents(docs).collect(), expected(docs, "byte_bpe_50k.json", 0))
+
+
 def test_differencing():
     # 8, 7, 6, 5, 4 in two parts differ by 2 after differencing, a known result
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]
