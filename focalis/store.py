@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        there = _plain_path(shared_dir(spark))
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if _plain_path(folder).startswith(f"{there}/"):
+                remove(spark, folder)
+
+
+def _plain_path(uri: str) -> str:
+    return re.sub(r"^file:/+", "/", uri)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name that a table does not have yet, in any case."""
     taken = {c.lower() for c in columns}
