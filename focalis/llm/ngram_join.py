@@ -6,7 +6,7 @@ a path: at every node a hash function given by the path so far samples one shing
 the least value, and sets that sample the same shingle go on together. Two sets of similarity s
 stay together with probability s at each step. A node of at most ``LEAF`` sets is a leaf; larger
 ones split again, down to ``DEPTH`` steps, where whatever is left is a leaf too. Leaves are brute
-forced, large ones as pairs of blocks of bounded size. Runs are repeated until a pair at the
+forced, large ones as pairs of blocks bounded in sets and shingles. Runs are repeated until a pair at the
 threshold shares a leaf with probability ``recall`` even at the greatest depth.
 
 A pair is counted in one leaf only, the least that both sets are in, so links are exact counts
@@ -17,9 +17,15 @@ components. Leaves with the same members are brute forced once.
 Result: one row a document with ``class_id``, the least document id of its connected component,
 and ``n_links``, the number of other documents at the threshold or above, copies included.
 
+How many documents are linked to each of n different near copies takes n**2 / 2 comparisons, which
+are shared out as pairs of blocks; a set goes to as many tasks as its leaf has blocks.
+
 Defined results: a null text or one without words has no links and is its own class; a null
 document id gets a large stand-in number made of its text, used for ``class_id`` where no member
-has an id; repeated rows are documents with equal sets; no rows give no rows.
+has an id, and comes back as null; ids may be any 64-bit number; repeated rows are documents with
+equal sets, of which ``keep_one`` keeps one; of equal ids the one whose text has the least hash
+stands for its class; texts of any length are read whole; no rows give no rows. Columns other than
+text and id are carried along by ``keep_one``, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -32,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import discard
 from .shared import unused, written
 from .words import mix, shingles, slices, words
 
 SHINGLE = 5
 DEPTH = 3
 LEAF = 64
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20  # of a block, on average, at most
+TILE, CELLS = 512, 4 << 20  # sets compared with a block at once; places of a dense matrix
 SPREAD = 16
 SIMILARITY, RECALL = 0.8, 0.999
 
@@ -89,11 +97,13 @@ def _signatures(docs: DataFrame, runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "rid": part.column(0),
                     "th": part.column(1),
+                    "known": part.column(3),
+                    "n": pa.array(size, pa.int64()),
                     "key": pa.array([None if e else raw[16 * i : 16 * i + 16] for i, e in enumerate(none)], pa.binary()),
                     "paths": pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths_of(flat, at, runs).ravel().view(np.int64))),
                 })
 
-    return docs.mapInArrow(run, "rid long, th long, key binary, paths array<long>")
+    return docs.mapInArrow(run, "rid long, th long, known boolean, n long, key binary, paths array<long>")
 
 
 def _names(text: str, key: str) -> tuple[Column, Column]:
@@ -104,27 +114,31 @@ def _names(text: str, key: str) -> tuple[Column, Column]:
 
 def _identified(docs: DataFrame, text: str, key: str) -> DataFrame:
     rid, th = _names(text, key)
-    return docs.select(rid.alias("rid"), th.alias("th"), F.col(f"`{text}`").alias("text"))
+    return docs.select(rid.alias("rid"), th.alias("th"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").isNotNull().alias("known"))
+
+
+def _leaves(sets: DataFrame, runs: int, made: list[DataFrame]) -> DataFrame:
+    """key, leaf, blocks: the leaves of two sets or more, one for each distinct group of members, and how many blocks they have."""
 
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        made.append(written(df, what))
+        return made[-1]
 
-def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """key, leaf, size: the leaves of two sets or more, one for each distinct group of members."""
     node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(*(F.get("paths", r * DEPTH + d).alias(f"p{d}") for d in range(DEPTH)))))
-    left = sets.select("key", node.alias("n")).select("key", *(f"n.p{d}" for d in range(DEPTH)))
+    left = sets.select("key", "n", node.alias("x")).select("key", "n", *(f"x.p{d}" for d in range(DEPTH)))
     leaves = None
     for d in range(DEPTH):
-        shared = left.groupBy(f"p{d}").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = left.join(shared, f"p{d}")
-        if d < DEPTH - 1:
-            rows = written(rows, "join-nodes")
+        shared = left.groupBy(f"p{d}").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1")
+        # written, so that the join stands alone and Spark can split the sets of a node that very many share
+        rows = kept(left.join(kept(shared, "node-sizes"), f"p{d}"), "join-nodes")
         own = rows if d == DEPTH - 1 else rows.filter(F.col("size") <= LEAF)
-        own = own.select("key", F.col(f"p{d}").alias("leaf"), "size")
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        own = own.select("key", F.col(f"p{d}").alias("leaf"), F.greatest(blocks, F.lit(1)).alias("blocks"))
         leaves = own if leaves is None else leaves.unionByName(own)
-        left = rows.filter(F.col("size") > LEAF).drop("size")
-    leaves = written(leaves, "join-leaves")
+        left = rows.filter(F.col("size") > LEAF).drop("size", "total")
     members = leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
     once = members.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return leaves.join(once, "leaf")
+    return kept(leaves.join(kept(once, "leaves-once"), "leaf"), "join-members")
 
 
 def _at_least(shared: np.ndarray, union: np.ndarray, similarity: float) -> np.ndarray:
@@ -144,7 +158,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
     out = np.zeros((len(a), len(b)), np.float64)
-    step = 4096
+    step = max(64, CELLS // (len(a) + len(b)))
     last = int(place[-1]) + 1 if len(place) else 0
     for low in range(0, last, step):
         p, q = np.searchsorted(place, (low, low + step))
@@ -189,13 +203,17 @@ def links_in(leaf: int, left: list[tuple], right: list[tuple] | None, similarity
     b = a if right is None else _Side(right)
     if not len(a.rows) or not len(b.rows):
         return []
-    shared = _overlaps(a.sets, b.sets)
-    ok = _at_least(shared, a.sizes[:, None] + b.sizes[None, :] - shared, similarity)
-    if right is None:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    mine = _owned(a, b, i, j, leaf)
-    i, j = i[mine], j[mine]
+    pairs = []
+    for low in range(0, len(a.rows), TILE):
+        shared = _overlaps(a.sets[low : low + TILE], b.sets)
+        ok = _at_least(shared, a.sizes[low : low + TILE, None] + b.sizes[None, :] - shared, similarity)
+        if right is None:
+            ok = np.triu(ok, low + 1)
+        i, j = np.nonzero(ok)
+        i += low
+        mine = _owned(a, b, i, j, leaf)
+        pairs.append((i[mine].astype(np.int32), j[mine].astype(np.int32)))
+    i, j = (np.concatenate(x) for x in zip(*pairs))
     if not len(i):
         return []
     shift = 0 if right is None else len(a.rows)
@@ -203,8 +221,9 @@ def links_in(leaf: int, left: list[tuple], right: list[tuple] | None, similarity
     links, label = np.zeros(len(keys), np.int64), np.array(sorted(range(len(keys)), key=keys.__getitem__))
     rank = np.empty(len(keys), np.int64)
     rank[label] = np.arange(len(keys))
-    np.add.at(links, i, b.weights[j])
-    np.add.at(links, j + shift, a.weights[i])
+    for low in range(0, len(i), CELLS):
+        p, q = i[low : low + CELLS], j[low : low + CELLS]
+        links += np.bincount(p, b.weights[q], len(keys)).astype(np.int64) + np.bincount(q + shift, a.weights[p], len(keys)).astype(np.int64)
     low = rank.copy()
     while True:
         before = low.copy()
@@ -217,11 +236,10 @@ def links_in(leaf: int, left: list[tuple], right: list[tuple] | None, similarity
 
 
 def _verified(active: DataFrame, similarity: float) -> DataFrame:
-    """key, links, root from all leaves; ``active``: key, w, leaves (leaf, size), shingles."""
-    blocks = F.ceil(F.col("l.size") / BLOCK).cast("int")
+    """key, links, root from all leaves; ``active``: key, w, leaves (leaf, blocks), shingles."""
     own = F.pmod(F.xxhash64("key"), F.col("g")).cast("int")
     rows = active.select("key", "w", F.transform("leaves", lambda x: x["leaf"]).alias("leaves"), "shingles", F.explode("leaves").alias("l"))
-    rows = rows.select("key", "w", "leaves", "shingles", F.col("l.leaf").alias("leaf"), blocks.alias("g")).withColumn("own", own)
+    rows = rows.select("key", "w", "leaves", "shingles", F.col("l.leaf").alias("leaf"), F.col("l.blocks").alias("g")).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "w", "leaves", "shingles")
 
@@ -257,7 +275,7 @@ def _verified(active: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(run, "key binary, links long, root binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """u, p: for each node of ``edges`` (u, v) the least node of its connected component.
 
     Each round points every node at its least neighbour and contracts the graph along those
@@ -266,13 +284,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     rounds: list[DataFrame] = []
+    made = [] if made is None else made  # tables that can go once the result has been written
     left = written(edges.filter("u <> v").distinct(), "edges")
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         point = written(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), "pointers")
         rounds.append(point)
+        made += [left, point]
         a, b = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         left = written(left.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct(), "edges")
+    made.append(left)
     if not rounds:
         return spark.createDataFrame([], "u binary, p binary")
     out = rounds[-1]
@@ -283,12 +304,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, th, key) of all documents, and key, class_rid, class_th, n_links of all sets."""
-    runs = runs_for(similarity, recall)
+    """Rows (rid, th, known, key) of all documents, and key, class_rid, class_th, n_links of all sets."""
+    runs, made = runs_for(similarity, recall), []
     rows = written(_signatures(_identified(docs, text, key), runs), "signatures")
-    sets = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("rid", "th")).alias("rep"), F.count("*").alias("w"), F.any_value("paths").alias("paths"))
-    sets = written(sets.select("key", "rep.rid", "rep.th", "w", "paths"), "sets")
-    leaves = written(_leaves(sets, runs), "join-members").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("leaf", "size"))).alias("leaves"))
+    sets = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("rid", "th")).alias("rep"), F.count("*").alias("w"), F.any_value("n").alias("n"), F.any_value("paths").alias("paths"))
+    sets = written(sets.select("key", "rep.rid", "rep.th", "w", "n", "paths"), "sets")
+    made.append(sets)
+    leaves = _leaves(sets, runs, made).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("leaf", "blocks"))).alias("leaves"))
     wanted = leaves.join(sets.select("key", "rid", "th", "w"), "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,28 +321,30 @@ def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: s
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([data[8 * p : 8 * q] for p, q in zip(at, at[1:])], pa.binary())], names=["key", "w", "leaves", "shingles"])
 
     texts = _identified(docs, text, key).join(wanted.hint("shuffle_hash"), ["rid", "th"]).dropDuplicates(["rid", "th"]).select("key", "w", "leaves", "text")
-    active = texts.mapInArrow(cut, "key binary, w long, leaves array<struct<leaf:long,size:long>>, shingles binary")
+    active = texts.mapInArrow(cut, "key binary, w long, leaves array<struct<leaf:long,blocks:int>>, shingles binary")
     found = written(_verified(active, similarity), "links")
     total = found.groupBy("key").agg(F.sum("links").alias("links"))
-    root = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("key"), "p")
+    root = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")), made).select(F.col("u").alias("key"), "p")
     # only linked sets need the least of their component; a component may be large, so its members are spread
     linked = written(sets.select("key", "rid", "th").join(root, "key"), "join-classes")
     # written, as else the rows of a component would stay together for the join, whatever their salt
     least = written(linked.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep")), "component-least")
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(least, ["p", "salt"]).select("key", "rep")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(salted, ["p", "salt"]).select("key", "rep")
     links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     classes = sets.select("key", "rid", "th", "w").join(named, "key", "left").join(total, "key", "left")
     classes = classes.select("key", F.coalesce("rep.rid", "rid").alias("class_rid"), F.coalesce("rep.th", "th").alias("class_th"), links.alias("n_links"))
     # written, so that the join with all rows stands alone and Spark can split the key of a large group of copies
-    return rows.select("rid", "th", "key"), written(classes, "set-classes")
+    classes = written(classes, "set-classes")
+    discard(*made, found, linked, least)
+    return rows.select("rid", "th", "known", "key"), classes
 
 
 def join_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     rows, classes = _joined(docs, similarity, recall, text, key)
     return rows.join(classes, "key", "left").select(
-        F.when(F.col("rid") < 2**62, F.col("rid")).alias("doc_id"), F.coalesce("class_rid", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        F.when(F.col("known"), F.col("rid")).alias("doc_id"), F.coalesce("class_rid", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
@@ -334,6 +358,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     rid, th = _names(text, key)
     left = docs.withColumns({r: rid, t: th}).join(kept.hint("shuffle_hash"), [r, t])
     own = [F.col(f"`{c}`") for c in docs.columns]
-    if rows.filter("key is not null").groupBy("rid", "th").count().filter("count > 1").isEmpty():
+    once_each = rows.filter("key is not null").groupBy("rid", "th").count().filter("count > 1").isEmpty()
+    discard(rows, classes)
+    if once_each:
         return left.select(*own)
     return left.filter(F.col(once)).dropDuplicates([r, t]).unionByName(left.filter(~F.col(once))).select(*own)

@@ -50,6 +50,45 @@ def test_join_equals_all_pairs(spark):
     assert {r.doc_id for r in J.keep_one(docs).collect()} == set(label)
 
 
+def test_large_ids(spark):
+    ids = [2**62, 2**62 + 5, 2**63 - 1, -(2**63), None, 0]
+    docs = spark.createDataFrame([(i, sentence(1) if k < 4 else sentence(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join_documents(docs).collect()}
+    assert set(got) == set(ids) and all(got[i] == (-(2**63), 3) for i in ids[:4]) and got[0] == (0, 0)
+
+
+def test_recall_on_a_whole_table(spark, capsys):
+    """Links of the test table against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    n, label = brute([r.text for r in rows])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join_documents(docs).collect()}
+    found, true = sum(got[r.doc_id][1] for r in rows), sum(n)
+    with capsys.disabled():
+        print(f"\nn-gram join at sf0.01: {found} of {true} links at {J.SIMILARITY}, recall {found / true:.4f}")
+    assert 0.995 * true <= found <= true and all(got[r.doc_id][1] <= k for r, k in zip(rows, n))
+    assert sum(got[r.doc_id][0] == rows[k].doc_id for r, k in zip(rows, label)) >= 0.995 * len(rows)
+
+
+@pytest.mark.parametrize("block, shingles", [(8, 1 << 20), (2048, 300)])
+def test_blocks_and_tiles_do_not_matter(spark, monkeypatch, block, shingles):
+    texts = corpus()[-120:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, J.join_documents(docs).collect()))
+    for name, value in (("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("TILE", 5), ("CELLS", 64)):
+        monkeypatch.setattr(J, name, value)
+    assert sorted(map(tuple, J.join_documents(docs).collect())) == whole
+
+
+def test_intermediate_tables_go(spark):
+    from focalis import store
+
+    folder = store.shared_dir(spark)
+    before = set(store.names_in(spark, folder))
+    J.keep_one(spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")).collect()
+    assert {n.rpartition("-")[0] for n in set(store.names_in(spark, folder)) - before} == {"kept"}
+
+
 def test_blocks_count_each_pair_once():
     r = np.random.default_rng(2)
     base = np.sort(r.integers(0, 2**63, 100).astype(np.uint64))
