@@ -1,4 +1,10 @@
-"""Cutting HTML into leaf blocks of text, each with the path of the elements around it."""
+"""Cutting HTML into leaf blocks of text, each with the path of the elements around it.
+
+Only what is no text of the page by the language itself is left out here: comments, and the
+content of scripts, styles, frames, input areas and the title. All else, what stands in for missing
+features or is hidden by the page itself included, becomes a block or part of one; a hidden element
+has the part ``.hidden`` on its path.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +18,11 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "audio", "video", "canvas")
+RAW_TAGS = ("script", "style", "iframe", "textarea", "title")
 #: Of these, the ones that go on to the end of a page without their end tag; of the others only the tag is left out then.
 ENDLESS = frozenset(("script", "style", "textarea", "title"))
+#: Elements that a slash closes.
+FOREIGN = frozenset("svg math path circle rect line g use polygon mspace".split())
 #: An opening tag that ends an open element of the listed kinds, unless one of ``BARRIERS`` lies between.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BARRIERS = frozenset("ul ol dl table select menu body".split())
@@ -60,24 +68,22 @@ def _hidden(rest: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order: character references decoded, white space runs turned into one blank, trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked = links = hidden = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
-            if text and not hidden:
+            if text:
                 out.append(Block(text, tuple(x for e in stack if e[0] in BLOCK_TAGS or e[1] for x in (e[0], *e[1])), linked))
             held.clear()
         linked = 0
 
     def close() -> None:
-        nonlocal links, hidden
-        tag, _, none = stack.pop()
-        links -= tag == "a"
-        hidden -= none
+        nonlocal links
+        links -= stack.pop()[0] == "a"
 
     def text(s: str) -> None:
         nonlocal linked
@@ -94,7 +100,7 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             if m["raw"] is None and m[0].startswith("<![CDATA["):
                 text(html.escape(m[0][9:].removesuffix("]]>")))
-            elif m["raw"] and not (m["raw"].lower() in ("svg", "math") and m[0].endswith("/>")):
+            elif m["raw"]:
                 raw = m["raw"].lower()
                 end = None if raw in unclosed else _RAW_ENDS[raw].search(page, at)
                 if end:
@@ -132,11 +138,10 @@ def blocks(page: str) -> list[Block]:
                     i -= 1
                 while len(stack) > last:
                     close()
-        if tag not in VOID_TAGS:
-            none = _hidden(m["rest"])
-            stack.append((tag, _parts(m["rest"]) if m["rest"] else (), none))
+        if tag not in VOID_TAGS and not (tag in FOREIGN and m[0].endswith("/>")):
+            parts = _parts(m["rest"]) if m["rest"] else ()
+            stack.append((tag, (*parts, ".hidden") if _hidden(m["rest"]) else parts))
             links += tag == "a"
-            hidden += none
     if at < len(page):
         text(page[at:])
     flush()

@@ -11,9 +11,14 @@ with and without speaking element and class names, among menus, headers, footers
 notices, adverts, forms and reader comments. Training is deterministic, bounded by
 ``TRAINING_PAGES`` and kept for the life of the process.
 
+Pages are labelled in batches of at most ``CELLS`` places, padding included; a page of more blocks
+is read alone, in windows of that many, each direction carrying its state from window to window, so
+the network's memory does not grow with a page.
+
 Defined results: a null or empty page, one without blocks, or one without a block labelled as
 article gives the empty string; malformed markup is read as far as it goes; pages and texts of any
-length are read whole; repeated rows are treated alike; other columns are not read.
+length are read whole; a block of probability one half is article; repeated rows are treated alike;
+other columns, whatever their names, are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ PATH_BUCKETS, WORD_BUCKETS, VECTOR, NUMBERS = 4096, 2048, 16, 9
 HIDDEN = 20
 TRAINING_PAGES, EPOCHS, SEED = 1200, 5, 7
 SLICE = 1 << 19
+CELLS = 8192
 
 # --- features
 
@@ -42,7 +48,8 @@ SLICE = 1 << 19
 class Features:
     """Blocks of many pages: for each its path buckets, word buckets and numbers."""
 
-    def __init__(self, pages: list[list[Block]], _cache: dict[str, int] = {}):  # noqa: B006  path names recur
+    def __init__(self, pages: list[list[Block]], first: int = 0, whole: int = 0, _cache: dict[str, int] = {}):  # noqa: B006  path names recur
+        """``first`` and ``whole``: where the blocks of a single page begin, and how many it has, if these are a part of them."""
         flat = [b for p in pages for b in p]
         self.sizes = np.array([len(p) for p in pages], np.int64)
         paths, at = [], [0]
@@ -63,8 +70,8 @@ class Features:
         n = np.array([len(b.text) for b in flat], np.float64)
         marks = np.array([sum(b.text.count(c) for c in ".,;:!?") for b in flat], np.float64)
         count = np.diff(self.word_at)
-        place = np.concatenate([np.arange(k) for k in self.sizes]) if len(flat) else np.zeros(0)
-        total = np.repeat(self.sizes, self.sizes)
+        place = first + np.concatenate([np.arange(k) for k in self.sizes]) if len(flat) else np.zeros(0)
+        total = np.repeat(np.maximum(self.sizes, whole), self.sizes)
         self.numbers = np.stack((
             np.log1p(n) / 5,
             np.array([b.linked for b in flat]) / np.maximum(n, 1),
@@ -106,10 +113,14 @@ class Labeller:
             self.w[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.w["out"], self.w["bias"] = r.normal(0, 0.2, 2 * HIDDEN + size), np.zeros(1)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction; x: steps x pages x size. Beyond a page's end its state stays zero."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states of one direction, from a state given; x: steps x pages x size. Beyond a page's end its state stays zero.
+
+        Without ``keep`` the last state comes back in place of the trace.
+        """
         steps, pages, _ = x.shape
-        h, c, out, trace = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN)), np.zeros((steps, pages, HIDDEN)), []
+        h, c = state or (np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN)))
+        out, trace = np.zeros((steps, pages, HIDDEN)), []
         given = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = given[t] + h @ self.w[f"h{d}"]
@@ -123,7 +134,7 @@ class Labeller:
             out[t] = h
             if keep:
                 trace.append((t, i, f, o, g, y, last_h, last_c))
-        return out, trace
+        return out, trace if keep else (h, c)
 
     def _back(self, d: str, x: np.ndarray, mask: np.ndarray, trace: list, dout: np.ndarray, grad: dict) -> np.ndarray:
         dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN))
@@ -159,6 +170,20 @@ class Labeller:
         states = np.concatenate((self._run("f", x, mask, False)[0], self._run("b", x, mask, False)[0], x), axis=2)
         return _sigmoid(states @ self.w["out"] + self.w["bias"])[at]
 
+    def predict_long(self, page: list[Block]) -> np.ndarray:
+        """The same for one page of any length, window by window."""
+        logit, out = np.zeros(len(page)), self.w["out"]
+        begins = range(0, len(page), CELLS)
+        for d, order, at in (("f", begins, 0), ("b", reversed(begins), HIDDEN)):
+            state = None
+            for low in order:
+                x, mask, _ = self._padded(Features([page[low : low + CELLS]], low, len(page)))
+                h, state = self._run(d, x, mask, False, state)
+                logit[low : low + CELLS] += h[:, 0] @ out[at : at + HIDDEN]
+                if d == "f":
+                    logit[low : low + CELLS] += x[:, 0] @ out[2 * HIDDEN :]
+        return _sigmoid(logit + self.w["bias"])
+
     def gradients(self, f: Features, labels: np.ndarray, drop: np.ndarray | None = None) -> tuple[float, dict]:
         x, mask, at = self._padded(f, drop)
         hf, tf = self._run("f", x, mask, True)
@@ -211,6 +236,12 @@ MARK = ""  # put before the text of article blocks; taken out before anything
 class _Pages:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.hides = random.Random(seed + 1)
+
+    def unseen(self, element: str) -> str:
+        """Some of what surrounds an article is hidden."""
+        x = self.hides.random()
+        return element if x > 0.08 else element.replace(">", " hidden>" if x < 0.04 else ' style="display:none">', 1)
 
     def word(self) -> str:
         r = self.r
@@ -335,7 +366,7 @@ class _Pages:
         if r.random() < 0.7 and "footer" in after:
             after.remove("footer")
             after.append("footer")
-        inner = "".join(map(self.outside, before)) + body + "".join(map(self.outside, after))
+        inner = "".join(self.unseen(self.outside(k)) for k in before) + body + "".join(self.unseen(self.outside(k)) for k in after)
         if r.random() < 0.3:
             inner = self.named(PLAIN, "div", inner, 0.9)
         return f"<html><head><title>{self.sentence(2, 9)}</title></head><body>{inner}</body></html>"
@@ -380,14 +411,24 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
 # --- the operator
 
 
+def _batches(sizes: list[int], most: int) -> Iterator[list[int]]:
+    """Pages by number of blocks, in batches of at most ``most`` pages and CELLS places, one page at least."""
+    own: list[int] = []
+    for i in sorted((i for i, n in enumerate(sizes) if n), key=sizes.__getitem__):
+        if own and (len(own) == most or (len(own) + 1) * sizes[i] > CELLS):
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
+
+
 def main_texts(pages: list[str | None], model: Labeller, batch: int = 64) -> list[str]:
     """The article text of each page, blocks joined by two line feeds."""
     found = [blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
-    order = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
-    for k in range(0, len(order), batch):
-        own = order[k : k + batch]
-        p = model.predict(Features([found[i] for i in own]))
+    for own in _batches([len(b) for b in found], batch):
+        p = model.predict(Features([found[i] for i in own])) if len(found[own[0]]) <= CELLS else model.predict_long(found[own[0]])
         at = 0
         for i in own:
             n = len(found[i])

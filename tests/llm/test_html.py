@@ -21,7 +21,8 @@ def texts(page):
         ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]),
         ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
         ("<div title='a>b'>t</div>", ["t"]),
-        ("<title>no</title><textarea>no</textarea><p hidden>no</p><p style='display: none'>no</p>yes", ["yes"]),
+        ("<title>no</title><textarea>no</textarea><p hidden>a</p><p style='display: none'>b</p>yes", ["a", "b", "yes"]),
+        ("The area is <math>&pi; <mi>r</mi></math> exactly<noscript>, they say</noscript>", ["The area is π r exactly, they say"]),
         ("1 < 2 & 3 > 2", ["1 < 2 & 3 > 2"]),
         ("</p></div>a</span>b", ["ab"]),
         ("<script>never ends", []),
@@ -99,11 +100,60 @@ def test_odd_rows(spark, model):
 def test_raw_elements_without_an_end_keep_the_text_behind():
     for tag in ('<svg width="1"/>', "<math/>", "<iframe src='x'>", "<object data=x>", "<video controls>", "<canvas>", '<svg viewBox="0">'):
         assert [b.text for b in blocks(f"<div>{tag}<p>one</p></div><p>two</p>")] == ["one", "two"], tag
-    assert [b.text for b in blocks("<p>a</p><svg><text>no</text></svg><object>no</object><p>b</p><script>no <p>no</p>")] == ["a", "b"]
+    assert [b.text for b in blocks("<p>a</p><object><p>if all fails</p></object><p>b</p><iframe>no</iframe><script>no <p>no</p>")] == ["a", "if all fails", "b"]
+
+
+def test_pages_of_any_length_in_bounded_memory(model, monkeypatch):
+    """One page of very many blocks beside short ones, and windows of any size, give the same labels."""
+    import tracemalloc
+
+    pages = H.training_pages(12, seed=99)
+    whole = [model.predict(H.Features([b])) for b, _ in pages]
+    batches = list(H._batches([0, 5, 2, 8000, 1, 9000], 64))
+    assert batches == [[4, 2, 1], [3], [5]]
+    long = "<article>" + "<p>word and more words." * 20_000 + "</article>"
+    short = ["<nav>menu</nav><article><h1>Title</h1><p>A text of some words, with a stop.</p></article>"] * 63
+    tracemalloc.start()
+    got = H.main_texts([long, *short], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].count("word and") == 20_000 and peak < 200 << 20
+    monkeypatch.setattr(H, "CELLS", 3)
+    assert all(abs(model.predict_long(b) - w).max() < 1e-9 for (b, _), w in zip(pages, whole))
+
+
+def test_labels_by_brute_force(model):
+    """The forward pass, written out block by block in plain Python, gives the labels of the batched one."""
+    import math
+
+    import numpy as np
+
+    pages = [b for b, _ in H.training_pages(4, seed=77)]
+    got = model.predict(H.Features(pages))
+    want = []
+    for page in pages:
+        f = H.Features([page])
+        rows = []
+        for k in range(len(page)):
+            path = [model.w["path"][x] for x in f.path[f.path_at[k] : f.path_at[k + 1]]]
+            word = [model.w["word"][x] for x in f.word[f.word_at[k] : f.word_at[k + 1]]]
+            rows.append(np.concatenate((sum(path) / len(path), sum(word) / len(word) if word else np.zeros(H.VECTOR), f.numbers[k])))
+        states = {}
+        for d, order in (("f", range(len(page))), ("b", range(len(page) - 1, -1, -1))):
+            h, c = [0.0] * H.HIDDEN, [0.0] * H.HIDDEN
+            for k in order:
+                z = rows[k] @ model.w[f"x{d}"] + np.array(h) @ model.w[f"h{d}"] + model.w[f"c{d}"]
+                gate = lambda j: 1 / (1 + math.exp(-z[j]))  # noqa: B023, E731
+                c = [gate(H.HIDDEN + j) * c[j] + gate(j) * math.tanh(z[3 * H.HIDDEN + j]) for j in range(H.HIDDEN)]
+                h = [gate(2 * H.HIDDEN + j) * math.tanh(c[j]) for j in range(H.HIDDEN)]
+                states[d, k] = h
+        want += [1 / (1 + math.exp(-(np.concatenate((states["f", k], states["b", k], rows[k])) @ model.w["out"] + model.w["bias"][0]))) for k in range(len(page))]
+    assert abs(got - np.array(want)).max() < 1e-9
 
 
 def test_hidden_is_an_attribute():
     shown = ['class="col hidden md-block"', 'title="the hidden cave"', "data-x='style=\"display:none\"'", 'aria-hidden="false"', 'style="--display: none-x"']
     not_shown = ["hidden", 'class="a" HIDDEN=""', "hidden=until-found", 'style="color:red; display : none"', "style=display:none", "class='b'hidden"]
     assert [b.text for a in shown for b in blocks(f"<div {a}>yes</div>")] == ["yes"] * len(shown)
-    assert [b.text for a in not_shown for b in blocks(f"<div {a}>no</div>")] == []
+    marked = lambda a: ".hidden" in blocks(f"<div {a}>x</div>")[0].path
+    assert all(map(marked, not_shown)) and sum(map(marked, shown)) == 1  # the first has a class of that name
