@@ -6,15 +6,20 @@ picture, 16 rectangle filters each compare two areas; their log ratios, quantise
 Gray code, make one 32-bit integer for every frame at which all filters fit.
 
 Two recordings are aligned by the integers that they share: a histogram of the differences of
-their places gives the likeliest offset, and the share of differing bits over the overlap at this
-offset tells whether they are the same sound. Queries are searched against all recordings in
-blocks of bounded size: a block's sorted integers are broadcast, all recordings are scanned.
+their places gives the likely offsets, and the share of differing bits over the overlap at an offset
+tells whether they are the same sound. The integers of the queries are joined with those of all
+recordings, shared ones counted by pair and offset, and every offset with ``MIN_SHARED`` of them or more
+is verified; nothing is collected or broadcast, and cost follows the number of shared integers.
 Recordings with equal fingerprints form a class, whose least id stands for all of them, so copies
-are never expanded into pairs.
-
-Defined results: a null, undecodable, silent or too short recording has no integers, is a class
-of its own and matches nothing; null ids are kept but are no queries; ties between offsets go to
-the smaller offset; repeated rows share a class; no rows give no rows.
+are never expanded into pairs. The overlap has to be of ``MIN_OVERLAP`` integers, or the whole of the
+shorter recording if that has fewer; of a recording of one integer, that one has to be shared.
+
+Defined results: a null, undecodable, silent or too short recording (under ``FRAME + (SPAN - 1) *
+HOP`` samples) has no integers, is a class of its own and matches nothing; null ids are kept but are
+no queries; of several verified offsets the one with most shared integers counts, then the one with
+fewer bit errors, then the smaller; recordings of any length are read whole, their spectra in bounded
+memory; repeated rows share a class; other columns, whatever their names, are not read; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .words import slices, utf8
 
 RATE, FRAME, HOP = 8000, 2048, 512
 LOWEST, HIGHEST = 55.0, 3520.0
@@ -38,8 +44,6 @@ LEVELS = (-0.35, 0.0, 0.35)  # between the four values of a filter
 #: range, 1 those of the time range, 2 the quarters crosswise, 3 the middle third of time with the rest
 FILTERS = [(k % 4, (5 * k) % 12, 4 + 2 * (k % 3), (4, 6, 8, 6)[k // 4 % 4]) for k in range(16)]
 MAX_ERROR, MIN_OVERLAP, MIN_SHARED = 0.25, 32, 2
-BLOCK_INTEGERS = 1 << 20
-HITS = 4 << 20
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -141,50 +145,13 @@ def overlap(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.n
     return a[low:high], b[low - offset : max(low, high) - offset]
 
 
-class QueryIndex:
-    """The integers of a block of queries, sorted, with where they are."""
-
-    def __init__(self, ids: list[int], prints: list[np.ndarray]):
-        self.ids, self.prints = ids, prints
-        every = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-        sizes = [len(p) for p in prints]
-        query, place = np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)])
-        order = np.argsort(every, kind="stable")
-        self.every, self.query, self.place = every[order], query[order], place[order]
-
-    def search(self, prints: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int]]:
-        """(recording, query, offset, share of bit errors, overlap) of all that match."""
-        flat = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-        sizes = np.array([len(p) for p in prints], np.int64)
-        rec = np.repeat(np.arange(len(prints)), sizes)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        low, high = np.searchsorted(self.every, flat, "left"), np.searchsorted(self.every, flat, "right")
-        n = high - low
-        ends = np.append(np.flatnonzero(np.diff(rec)) + 1, len(rec))
-        start = 0
-        while start < len(flat):  # whole recordings whose hits fit in bounded memory, one at least
-            later = ends[ends > start]
-            fit = later[np.cumsum(n[start:])[later - 1 - start] <= HITS]
-            end = int(fit[-1] if len(fit) else later[0])
-            k = n[start:end]
-            hit = np.repeat(low[start:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            r, q = np.repeat(rec[start:end], k), self.query[hit]
-            offset = self.place[hit] - np.repeat(at[start:end], k)
-            if len(hit):
-                order = np.lexsort((offset, q, r))
-                r, q, offset = r[order], q[order], offset[order]
-                new = np.append(True, (np.diff(r) != 0) | (np.diff(q) != 0) | (np.diff(offset) != 0))
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(r)))
-                r, q, offset = r[first], q[first], offset[first]
-                best = np.lexsort((offset, -count, q, r))
-                r, q, offset, count = r[best], q[best], offset[best], count[best]
-                top = np.append(True, (np.diff(r) != 0) | (np.diff(q) != 0)) & (count >= MIN_SHARED)
-                for i in np.flatnonzero(top).tolist():
-                    a, b = overlap(self.prints[q[i]], prints[r[i]], int(offset[i]))
-                    if len(a) >= MIN_OVERLAP and (e := bit_errors(a, b)) <= MAX_ERROR:
-                        yield int(r[i]), int(q[i]), int(offset[i]), e, len(a)
-            start = end
+def verified(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int] | None:
+    """The share of bit errors and the overlap at an offset, if they are the same sound there."""
+    x, y = overlap(a, b, offset)
+    if len(x) < min(MIN_OVERLAP, len(a), len(b)) or not len(x):
+        return None
+    error = bit_errors(x, y)
+    return (error, len(x)) if error <= MAX_ERROR else None
 
 
 # --- on tables
@@ -204,35 +171,59 @@ def fingerprints(rows: DataFrame, key: str, media: str, decode: Callable = read_
     return rows.select(F.col(key).cast("long").alias("id"), F.col(media)).mapInArrow(run, "id long, print binary")
 
 
+def _integers(classes: DataFrame) -> DataFrame:
+    """num, n (integers of its recording), value, place of every integer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "print", 1 << 20):
+                raw, at = utf8(part.column(1))
+                size = np.diff(at) // 4
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.asarray(part.column(0)), size)),
+                    pa.array(np.repeat(size, size)),
+                    pa.array(np.frombuffer(raw.tobytes(), "<u4").view(np.int32)),
+                    pa.array(place),
+                ], names=["num", "n", "value", "place"])
+
+    return classes.select("num", "print").mapInArrow(run, "num long, n long, value int, place long")
+
+
+def _matches(classes: DataFrame) -> DataFrame:
+    """query, match (numbers of classes), offset, bit_error, frames of all queries and the classes that they match."""
+    every = _integers(classes)
+    wanted = _integers(classes.filter("wanted")).select(F.col("num").alias("query"), F.col("n").alias("m"), "value", F.col("place").alias("at"))
+    shared = every.join(wanted, "value").groupBy("query", "num", F.least("m", "n").alias("shorter"), (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("shared"))
+    likely = shared.filter(F.col("shared") >= F.least(F.lit(MIN_SHARED), "shorter")).groupBy("query", "num").agg(F.collect_list(F.struct("offset", "shared")).alias("offsets"))
+    likely = written(likely, "likely-offsets")
+    prints = classes.select("num", "print")
+    pairs = likely.join(prints, "num").join(prints.select(F.col("num").alias("query"), F.col("print").alias("query_print")), "query").select("query", "num", "offsets", "print", "query_print")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for query, num, offsets, print_, query_print in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = np.frombuffer(query_print, "<u4"), np.frombuffer(print_, "<u4")
+                found = ((-o["shared"], v[0], o["offset"], v[1]) for o in offsets if (v := verified(a, b, o["offset"])))
+                if best := min(found, default=None):
+                    out.append((query, num, best[2], best[1], best[3]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query", "num", "offset", "bit_error", "frames"])
+
+    return pairs.mapInArrow(run, "query long, num long, offset long, bit_error double, frames long")
+
+
 def search(prints: DataFrame, queries: str = "id % 100 = 0") -> DataFrame:
     """All recordings (id, class_id, is_query); queries with a row for each class that they match: match_class, offset, bit_error, frames."""
-    spark = prints.sparkSession
     rows = written(prints.withColumn("name", F.when(F.length("print") > 0, F.sha2("print", 256))).withColumn("is_query", F.coalesce(F.expr(queries), F.lit(False))), "prints")
     classes = rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("class_id"), F.max("is_query").alias("wanted"), F.any_value("print").alias("print"))
-    classes = written(classes, "print-classes")
-    wanted = classes.filter("wanted")
-    total = wanted.agg(F.sum(F.length("print") / 4)).first()[0] or 0
-    blocks = int(-(-total // BLOCK_INTEGERS))
-    schema = "query_name string, match_name string, offset long, bit_error double, frames long"
-    found = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        own = wanted.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).select("name", "print").collect()
-        held = spark.sparkContext.broadcast(QueryIndex([r.name for r in own], [np.frombuffer(r.print, "<u4") for r in own]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for batch in batches:
-                for j in range(0, batch.num_rows, 1024):
-                    names, prints_ = (c.to_pylist() for c in batch.slice(j, 1024).columns)
-                    out = [(index.ids[q], names[r], offset, error, n) for r, q, offset, error, n in index.search([np.frombuffer(p, "<u4") for p in prints_])]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["query_name", "match_name", "offset", "bit_error", "frames"])
-
-        found = found.unionByName(classes.select("name", "print").mapInArrow(run, schema))
+    classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "print-classes")
+    names = classes.select("num", "name", "class_id")
+    found = _matches(classes).join(names.select("num", F.col("class_id").alias("match_class")), "num")
+    found = found.join(names.select(F.col("num").alias("query"), F.col("name").alias("query_name")), "query").select("query_name", "match_class", "offset", "bit_error", "frames")
     found = written(found, "print-matches")
-    reps = classes.select("name", "class_id")
-    found = found.join(reps.select(F.col("name").alias("match_name"), F.col("class_id").alias("match_class")), "match_name").drop("match_name")
-    all_rows = rows.join(reps, "name", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "is_query", F.when(F.col("is_query"), F.col("name")).alias("query_name"))
+    all_rows = rows.join(names.drop("num"), "name", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "is_query", F.when(F.col("is_query"), F.col("name")).alias("query_name"))
     return all_rows.join(found, "query_name", "left").select("id", "class_id", "is_query", "match_class", "offset", "bit_error", "frames")
 
 

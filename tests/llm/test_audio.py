@@ -11,36 +11,54 @@ def sounds():
 
 
 def brute(a, b):
-    """The best alignment over all offsets."""
-    best = (1.0, 0)
-    for offset in range(-len(b) + A.MIN_OVERLAP, len(a) - A.MIN_OVERLAP + 1):
+    """The best alignment over all offsets at which integers enough are shared: (shared, error, offset, frames), or None."""
+    found = []
+    for offset in range(-len(b), len(a) + 1):
         x, y = A.overlap(a, b, offset)
-        if len(x) >= A.MIN_OVERLAP:
-            best = min(best, (A.bit_errors(x, y), offset))
-    return best
+        if len(x) and len(x) >= min(A.MIN_OVERLAP, len(a), len(b)):
+            shared, error = int((x == y).sum()), A.bit_errors(x, y)
+            if shared >= min(A.MIN_SHARED, len(a), len(b)) and error <= A.MAX_ERROR:
+                found.append((-shared, error, offset, len(x)))
+    return min(found, default=None)
 
 
-def test_search_equals_all_offsets(sounds):
-    """Noisy, shifted copies against all recordings; recall at least 0.9, nothing false."""
+def table(spark, prints):
+    return spark.createDataFrame([(i, p.astype("<u4").tobytes()) for i, p in prints.items()], "id long, print binary")
+
+
+def test_search_equals_all_offsets(spark, sounds):
+    """Noisy and shifted copies, parts, steady tones, long and very short recordings, against all recordings at all offsets."""
     r = np.random.default_rng(1)
-    prints = [A.fingerprint(s) for s in sounds]
-    queries = []
+    prints = {i + 1: A.fingerprint(s) for i, s in enumerate(sounds)}
     for i in range(0, 40, 2):
         shift = int(r.integers(0, 14)) * A.HOP
-        queries.append(A.fingerprint(np.concatenate((r.normal(0, 400, shift), sounds[i] + r.normal(0, 400, len(sounds[i]))))))
-    want = {(i, q) for q, x in enumerate(queries) for i, y in enumerate(prints) if brute(x, y)[0] <= A.MAX_ERROR}
-    got = list(A.QueryIndex(list(range(len(queries))), queries).search(prints))
-    pairs = {(i, q) for i, q, *_ in got}
-    assert len(want) >= 20 and pairs <= want and len(pairs) >= 0.9 * len(want)
-    for i, q, offset, error, _ in got:
-        assert (error, offset) == brute(queries[q], prints[i])
+        prints[100 * (i + 1)] = A.fingerprint(np.concatenate((r.normal(0, 400, shift), sounds[i] + r.normal(0, 400, len(sounds[i])))))
+    tone = np.full(60, 7, np.uint32)
+    long = np.concatenate([A.fingerprint(s) for s in sounds] * 3)
+    prints |= {10_100: prints[1][:20], 10_200: prints[2][5:6], 10_300: tone, 51: np.concatenate((tone[:9], prints[3])), 10_400: np.concatenate((prints[3], tone[:30])), 52: tone[:3], 10_500: long, 10_600: prints[1], 53: np.zeros(0, np.uint32)}
+    got = {}
+    for x in A.search(table(spark, prints)).collect():
+        if x.match_class is not None:
+            got[x.id, x.match_class] = (x.bit_error, x.offset, x.frames)
+    classes = {}
+    for i, p in sorted(prints.items()):
+        classes.setdefault(p.tobytes(), i)
+    want = {}
+    for i, p in prints.items():
+        for j in set(classes.values()):
+            if i % 100 == 0 and len(p) and len(prints[j]) and (best := brute(p, prints[j])):
+                want[i, j] = best[1:]
+    assert got == want and {(10_100, 1), (10_300, 52), (10_600, 1), (10_400, 3), (10_500, 5)} <= set(want)
+    near = [i for i in range(0, 40, 2) if (100 * (i + 1), i + 1) in want]
+    assert len(near) >= 18
 
 
-def test_hits_in_bounded_memory(sounds, monkeypatch):
-    prints = [A.fingerprint(s) for s in sounds]
-    whole = sorted(A.QueryIndex([0, 1], prints[:2]).search(prints * 2))
-    monkeypatch.setattr(A, "HITS", 1)
-    assert sorted(A.QueryIndex([0, 1], prints[:2]).search(prints * 2)) == whole and len(whole) == 4
+def test_one_integer_of_all(spark):
+    """An integer that every recording has makes no matches of its own."""
+    r = np.random.default_rng(5)
+    prints = {i: np.concatenate((r.integers(0, 2**32, 40, dtype=np.uint32), np.array([99], np.uint32), r.integers(0, 2**32, 40, dtype=np.uint32))) for i in range(0, 400, 2)}
+    rows = A.search(table(spark, prints)).collect()
+    assert {(x.id, x.match_class) for x in rows if x.match_class is not None} == {(i, i) for i in (0, 100, 200, 300)} and len(rows) == 200
 
 
 def test_wav(sounds):
@@ -60,11 +78,3 @@ def test_tables(spark, sounds):
     assert (by[100].match_class, by[100].offset, by[100].bit_error) == (3, 0, 0.0) and by[200].match_class == 200
     assert by[300].is_query and by[300].match_class is None and by[7].class_id == 7 and not by[5].is_query and by[5].match_class is None
     assert A.search(A.fingerprints(df.limit(0), "rec", "sound")).count() == 0
-
-
-def test_blocks_of_queries_do_not_matter(spark, sounds, monkeypatch):
-    df = spark.createDataFrame([(100 * i, A.write_wav(s)) for i, s in enumerate(sounds[:12])], "rec long, sound binary")
-    prints = A.fingerprints(df, "rec", "sound")
-    whole = sorted(map(str, A.search(prints).collect()))
-    monkeypatch.setattr(A, "BLOCK_INTEGERS", 150)
-    assert sorted(map(str, A.search(prints).collect())) == whole
