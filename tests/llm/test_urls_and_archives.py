@@ -21,7 +21,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def test_urls(spark):
     r = random.Random(2)
-    urls = ["http://example.net", "http://example.net/", "HTTP://EXAMPLE.NET/en/1?x=/de/#a", "no scheme", None, "", "://", "http://xnet/", "http://a.org?q", "http://b.a.org/x", "ftp://u@É.net/a://b.com/", "http://a.net\n/x", "http://net/", "http://.net/", "http://a.org/yzx"]
+    urls = ["http://example.net", "http://example.net/", "HTTP://EXAMPLE.NET/en/1?x=/de/#a", "no scheme", None, "", "://", "http://xnet/", "http://a.org?q", "http://b.a.org/x", "ftp://u@É.net/a://b.com/", "http://a.net\n/x", "http://net/", "http://.net/", "http://a.org/yzx", "http://" + "a." * 4000 + "example.net/" + "en/" * 5000, "http://" + "x" * 100_000 + ".org/fr/", "http://..net./", "http://a..net/"]
     for _ in range(300):
         host = ".".join(r.choice(["a", "b", "example", "org", "net", "com"]) for _ in range(r.randint(1, 4)))
         urls.append(f"http://{host}{r.choice(['', '/', '/en/', '/de/', '/fr/', '/x', '/yzx/'])}{r.choice(['', 'en/', '?a', '#b'])}")
