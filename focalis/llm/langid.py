@@ -11,7 +11,9 @@ chosen by a hash of the document; every document is scored over its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text
 if there is nothing to learn from. A null ``doc_id`` counts as the empty string for the fold.
-Equal scores go to the language first in alphabetical order; repeated rows are scored alike.
+Equal scores go to the language first in alphabetical order; repeated rows are scored alike; texts
+of any length are read whole, in slices of bounded size, a text at least; documents without a label
+or text are not learned from; other columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -91,8 +93,10 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     # the sample is small and spread thinly: few tasks, so that few vectors are summed
     sums = rows.select("text", "lang").repartition(8).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums.lang.unique())
+    if not langs:
+        return [], np.zeros(((1 << BITS) + 1, 0), np.float32)
     counts = np.zeros(((1 << BITS) + 1, len(langs)))
-    counts[sums.bucket.to_numpy(), np.searchsorted(langs, sums.lang.to_numpy(str)) if langs else []] = sums.n.to_numpy()
+    counts[sums.bucket.to_numpy(), np.searchsorted(langs, sums.lang.to_numpy(str))] = sums.n.to_numpy()
     logs = np.log(counts[:-1] + SMOOTHING) - np.log(counts[:-1].sum(axis=0) + SMOOTHING * (1 << BITS))
     prior = np.log(counts[-1:] + 1) - np.log((counts[-1:] + 1).sum())
     return langs, np.concatenate((logs, prior)).astype(np.float32)

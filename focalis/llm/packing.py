@@ -10,7 +10,10 @@ group; a group holds about ``docs_per_group`` remainders of under one window eac
 grows with the data, whatever the ids are.
 
 Defined results: a null or empty text is the end id alone; null and repeated ids are documents of
-their own; no rows give no pieces.
+their own, repeated rows too; texts of any length are cut into windows as they are encoded; equal
+lengths are merged in the order of id, then text; of several windows with equal sums the first made
+is merged first; columns other than id and text, whatever their names, are not read; no rows give no
+pieces.
 """
 
 from __future__ import annotations

@@ -68,3 +68,20 @@ def test_odd_rows(spark, odd_docs, no_docs, model):
 def test_training_bound(docs):
     langs, logs = L.train(docs, max_docs=100)
     assert len(langs) == 4 and logs.shape == ((1 << L.BITS) + 1, 4)
+
+
+def test_counts_by_definition(spark):
+    """Log-probabilities from n-grams counted one by one."""
+    rows = [("en", "The cat, the hat"), ("en", "thé cat"), ("fr", "Le chat est là"), ("fr", None), (None, "not read"), ("de", "!!")]
+    langs, logs = L.train(spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert langs == ["de", "en", "fr"]
+    want, docs = np.zeros((1 << L.BITS, 3)), np.zeros(3)
+    for g, t in rows:
+        if g and t:
+            buckets, _, some = L.ngrams([t])
+            docs[langs.index(g)] += some[0]
+            for b in buckets:
+                for x in b.tolist():
+                    want[x, langs.index(g)] += 1
+    smooth = np.log(want + L.SMOOTHING) - np.log(want.sum(axis=0) + L.SMOOTHING * (1 << L.BITS))
+    assert np.allclose(logs[:-1], smooth, atol=1e-5) and np.allclose(logs[-1], np.log((docs + 1) / (docs + 1).sum()), atol=1e-5)
