@@ -8,6 +8,13 @@ read again as the next one's ``docs``. All but the last return the columns of ``
 3. decontamination: documents that leak a benchmark item go
 4. pii: validated numbers, dates, addresses and secrets become pseudonyms
 5. packing: what is left is tokenized and packed into windows of 1024 ids
+
+Defined results, each stage on what its predecessor kept: a null or empty text, or one without a
+letter, goes at the first stage; of repeated rows, as of documents with equal text, one stays; of equal
+ids each row is a document of its own until its text decides; of several documents with the least id
+the one whose text has the least hash stays; a null label does not matter, as no stage but the first
+reads it, to learn from; texts of any length are read whole; an empty table gives an empty one; more
+columns, whatever their names, are carried to the last stage; an empty benchmark takes nothing out.
 """
 
 from __future__ import annotations
