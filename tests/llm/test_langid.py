@@ -74,10 +74,10 @@ def test_counts_by_definition(spark):
     """Log-probabilities from n-grams counted one by one."""
     rows = [("en", "The cat, the hat"), ("en", "thé cat"), ("fr", "Le chat est là"), ("fr", None), (None, "not read"), ("de", "!!")]
     langs, logs = L.train(spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string"))
-    assert langs == ["de", "en", "fr"]
-    want, docs = np.zeros((1 << L.BITS, 3)), np.zeros(3)
+    assert langs == ["en", "fr"]  # of the third no letter was seen
+    want, docs = np.zeros((1 << L.BITS, 2)), np.zeros(2)
     for g, t in rows:
-        if g and t:
+        if g in langs and t:
             buckets, _, some = L.ngrams([t])
             docs[langs.index(g)] += some[0]
             for b in buckets:
