@@ -46,6 +46,7 @@ SHINGLE = 5
 DEPTH = 3
 LEAF = 64
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20  # of a block, on average, at most
+SMALL_BLOCK, FEW = 512, 16  # of the blocks of a leaf that has few of them, so that it is still shared out
 TILE, CELLS = 512, 4 << 20  # sets compared with a block at once; places of a dense matrix
 SPREAD = 16
 SIMILARITY, RECALL = 0.8, 0.999
@@ -132,7 +133,8 @@ def _leaves(sets: DataFrame, runs: int, made: list[DataFrame]) -> DataFrame:
         # written, so that the join stands alone and Spark can split the sets of a node that very many share
         rows = kept(left.join(kept(shared, "node-sizes"), f"p{d}"), "join-nodes")
         own = rows if d == DEPTH - 1 else rows.filter(F.col("size") <= LEAF)
-        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        shared_out = F.least(F.col("size") / SMALL_BLOCK, F.lit(float(FEW)))
+        blocks = F.ceil(F.greatest(shared_out, F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
         own = own.select("key", F.col(f"p{d}").alias("leaf"), F.greatest(blocks, F.lit(1)).alias("blocks"))
         leaves = own if leaves is None else leaves.unionByName(own)
         left = rows.filter(F.col("size") > LEAF).drop("size", "total")
