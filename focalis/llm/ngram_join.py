@@ -243,7 +243,7 @@ def _verified(active: DataFrame, similarity: float) -> DataFrame:
     rows = active.select("key", "w", F.transform("leaves", lambda x: x["leaf"]).alias("leaves"), "shingles", F.explode("leaves").alias("l"))
     rows = rows.select("key", "w", "leaves", "shingles", F.col("l.leaf").alias("leaf"), F.col("l.blocks").alias("g")).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "w", "leaves", "shingles")
+    rows = rows.select("leaf", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "w", "leaves", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows, out = None, [], []
@@ -274,7 +274,12 @@ def _verified(active: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield taken()
 
-    return rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(run, "key binary, links long, root binary")
+    # the pairs of blocks of a leaf go to partitions side by side, so none gets many of one leaf before all have some
+    n = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.col("i") * F.col("g") - F.floor(F.col("i") * (F.col("i") + 1) / 2) + F.col("j")
+    dealt = rows.withColumn("part", F.pmod(F.pmod(F.xxhash64("leaf"), F.lit(n)) + pair, F.lit(n)).cast("int")).repartitionById(n, "part")
+    dealt = dealt.select("leaf", "i", "j", "own", "key", "w", "leaves", "shingles")
+    return dealt.sortWithinPartitions("leaf", "i", "j").mapInArrow(run, "key binary, links long, root binary")
 
 
 def components(edges: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
