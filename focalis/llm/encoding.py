@@ -20,7 +20,6 @@ library's ids.
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
@@ -32,8 +31,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_CHUNKS = 1_000_000  # a worker forgets its chunks beyond this number; results do not depend on it
 WINDOW = 1 << 20
+NEAR = 1 << 12  # so far back the end of a window is looked for at first
 LONGEST = 64
-_SAFE = re.compile("(?s) ?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff](?:.*[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])?")
 _TABLE = 1 << 21
 _MASK = np.uint64(_TABLE - 1)
 
@@ -127,11 +126,23 @@ class Encoder:
         start[1:] |= _SIGN[raw[1:]] & (_LETTER[raw[:-1]] | latin[:-1])
         return np.flatnonzero(start)
 
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids of chunks: many at a time where a separator between them is surely a pre-token of its own."""
+    def _apart(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a separator beside a chunk is surely a pre-token of its own: the chunk has none, and begins and ends with a visible Latin character, maybe after one blank."""
+        size = end - start
+        marks = np.flatnonzero(raw == ord(self.separator))
+        first = start + ((raw[start] == 0x20) & (size > 1))
+        second = np.minimum(first + 1, end - 1)
+        sign = (raw[second] == 0x97) | (raw[second] == 0xB7)
+        opens = _VISIBLE[raw[first]] | ((raw[first] == 0xC3) & (second > first) & ~sign)
+        last = end - 1
+        closes = _VISIBLE[raw[last]] | ((raw[last - 1] == 0xC3) & (last > start) & (raw[last] != 0x97) & (raw[last] != 0xB7))
+        return opens & closes & (np.searchsorted(marks, end) == np.searchsorted(marks, start))
+
+    def _ids(self, chunks: list[str], apart: np.ndarray) -> list[list[int]]:
+        """The library's ids of chunks: many at a time those that may stand beside a separator."""
         sep, mark = self.separator, self.mark
-        plain = [i for i, x in enumerate(chunks) if sep not in x and _SAFE.fullmatch(x)]
-        rest = set(range(len(chunks))).difference(plain)
+        plain = np.flatnonzero(apart).tolist()
+        rest = set(np.flatnonzero(~apart).tolist())
         out: list[list[int]] = [[]] * len(chunks)
         joined = [sep.join(chunks[i] for i in plain[k : k + 64]) for k in range(0, len(plain), 64)]
         for k, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
@@ -148,8 +159,8 @@ class Encoder:
             out[i] = found.ids
         return out
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        ids = self._ids(chunks)
+    def _learn(self, keys: np.ndarray, chunks: list[str], apart: np.ndarray) -> None:
+        ids = self._ids(chunks, apart)
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         first, end = self.count, self.used + len(flat)
@@ -185,7 +196,8 @@ class Encoder:
             new, where = np.unique(key[missing], return_index=True)
             where = missing[where]
             text = raw.tobytes()
-            self._learn(new, [text[p:q].decode("utf-8") for p, q in zip(start[where].tolist(), end[where].tolist())])
+            chunks = [text[p:q].decode("utf-8") for p, q in zip(start[where].tolist(), end[where].tolist())]
+            self._learn(new, chunks, self._apart(raw, start[where], end[where]))
             slot[missing] = self._find(key[missing])
         size = self.length[slot].astype(np.int64)
         at = np.concatenate(([0], np.cumsum(size)))
@@ -206,9 +218,12 @@ class Encoder:
         while low < len(raw):
             high = min(len(raw), low + WINDOW)
             if high < len(raw):  # end at a chunk's start
-                last = self._starts(raw[low:high], bounds[low:high])
-                if last[-1] > 0:
-                    high = low + int(last[-1])
+                near = max(low, high - NEAR)
+                last = self._starts(raw[near:high], bounds[near:high])
+                if not len(last) or last[-1] == 0:  # a long chunk
+                    near, last = low, self._starts(raw[low:high], bounds[low:high])
+                if last[-1:].any():
+                    high = near + int(last[-1])
                 else:
                     more = self._starts(raw[low:], bounds[low:-1])
                     high = low + int(more[more > 0][0]) if (more > 0).any() else len(raw)

@@ -76,15 +76,20 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """The least number of near-equal windows, from the sum upwards, of which none exceeds the capacity."""
+    """Near-equal windows of which none exceeds the capacity.
+
+    Their number starts from the sum and rises until the largest fits: each time by as much as it
+    would take if all sums shrank alike, by one at least.
+    """
     if any(s > capacity for s in sizes):
         raise ValueError("a piece exceeds the capacity")
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         parts = differencing(sizes, k)
-        if max((sum(sizes[i] for i in p) for p in parts), default=0) <= capacity:
+        most = max((sum(sizes[i] for i in p) for p in parts), default=0)
+        if most <= capacity:
             return [p for p in parts if p]
-        k += 1
+        k = max(k + 1, -(-k * most // capacity)) if k < len(sizes) else k + 1
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

@@ -21,8 +21,9 @@ def test_encoder_is_the_library(name, lower, separator, monkeypatch):
     texts += ["".join(r.choice("0aBéß '.,\n \t1×中́’<|>s") for _ in range(r.randint(0, 40))) for _ in range(800)]
     e = encoding.Encoder(encoding.default_path(name), lower, separator)
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
-    for window in (encoding.WINDOW, 64):
+    for window, near in ((encoding.WINDOW, encoding.NEAR), (64, encoding.NEAR), (64, 8), (200, 3)):
         monkeypatch.setattr(encoding, "WINDOW", window)
+        monkeypatch.setattr(encoding, "NEAR", near)
         ids, at = e.encode(pa.array(texts, pa.string()))
         assert [ids[p:q].tolist() for p, q in zip(at, at[1:])] == want
     monkeypatch.setattr(encoding, "CACHE_CHUNKS", 300)
