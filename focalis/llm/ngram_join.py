@@ -337,7 +337,7 @@ def _joined(docs: DataFrame, similarity: float, recall: float, text: str, key: s
     # written, as else the rows of a component would stay together for the join, whatever their salt
     least = written(linked.groupBy("p").agg(F.min(F.struct("rid", "th")).alias("rep")), "component-least")
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(salted, ["p", "salt"]).select("key", "rep")
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(salted.hint("merge"), ["p", "salt"]).select("key", "rep")
     links = F.coalesce("links", F.lit(0)) + F.col("w") - 1
     classes = sets.select("key", "rid", "th", "w").join(named, "key", "left").join(total, "key", "left")
     classes = classes.select("key", F.coalesce("rep.rid", "rid").alias("class_rid"), F.coalesce("rep.th", "th").alias("class_th"), links.alias("n_links"))
