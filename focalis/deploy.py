@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zipfile
 from pathlib import Path
 
@@ -15,7 +14,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_focalis_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp()) / "focalis.zip"
+    path = Path(context._temp_dir) / "focalis.zip"  # goes with the context
     with zipfile.ZipFile(path, "w") as out:
         for f in sorted(root.rglob("*.py")):
             out.write(f, f"{root.name}/{f.relative_to(root)}")
