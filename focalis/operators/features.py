@@ -168,10 +168,10 @@ def decision_features(edges_: DataFrame, structure: DataFrame, words: DataFrame,
     plain = words.select("sent_id", "word", F.inline(own))
     hit = edges_.join(words.select("sent_id", "word").distinct(), "sent_id").filter((F.col("head") == F.col("word")) | (F.col("dep") == F.col("word")))
     places = hit.select("sent_id", "word", F.concat(F.lit("QUESTION_"), relation_name(F.col("rel"))).alias("name"), F.when(F.col("head") == F.col("word"), "1").otherwise("2").alias("value"))
-    out = same.unionByName(direct).unionByName(plain).unionByName(places)
-    if paths is not None:
-        out = out.unionByName(paths.select("sent_id", "word", F.lit("DEPENDENCY_PATH").alias("name"), F.col("path").alias("value")))
-    return out.filter("value is not null").distinct()
+    out = same.unionByName(direct).unionByName(plain).unionByName(places).filter("value is not null").distinct()
+    if paths is not None:  # each path comes once as it is, and is long: it need not be shuffled to see that
+        out = out.unionByName(paths.filter("path is not null").select("sent_id", "word", F.lit("DEPENDENCY_PATH").alias("name"), F.col("path").alias("value")))
+    return out
 
 
 def training_table(sentences: DataFrame, tokens: DataFrame, gold: DataFrame, paths: DataFrame | None = None) -> DataFrame:
