@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.items import ITEM
 from ..store import written
 
 MAX_ITEMS = 20  # of a condition set after pruning; more would give over a million subsets a row
-FEW_ITEMS = 1_000  # frequent items that are handed to every task as one array; more are joined
+FEW_ITEMS = 500  # frequent items that are handed to every task as one array; more are joined
 
 
 def validated(transactions: DataFrame) -> DataFrame:
@@ -56,10 +57,11 @@ def pruned(compacted: DataFrame, min_support: int, few: int = FEW_ITEMS) -> Data
     if min_support <= 0:
         return compacted
     items = compacted.select(F.explode("c").alias("x"), "w")
-    frequent = written(items.groupBy("x").agg(F.sum("w").alias("n")).filter(F.col("n") > min_support).select("x"), "frequent-items")
-    if frequent.limit(few + 1).count() <= few:
-        held = compacted.withColumn("_xs", frequent.agg(F.collect_list("x").alias("xs")).scalar())
-        return compact(held.select(F.array_sort(F.array_intersect("c", "_xs")).alias("c"), "d", "w"))
+    frequent = items.groupBy("x").agg(F.sum("w").alias("n")).filter(F.col("n") > min_support).select("x")
+    found = frequent.limit(few + 1).select("x.name", "x.value").collect()
+    if len(found) <= few:
+        held = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.value).alias("value")) for r in found)).cast(f"array<{ITEM}>")
+        return compact(compacted.select(F.array_sort(F.array_intersect("c", held)).alias("c"), "d", "w"))
     kept = compacted.select("c", "d", "w", F.explode("c").alias("x")).join(frequent, "x")
     return compact(kept.groupBy("c", "d", "w").agg(F.array_sort(F.collect_set("x")).alias("kept")).select(F.col("kept").alias("c"), "d", "w"))
 
