@@ -12,12 +12,14 @@ count as often as they occur; no transactions give no rules. Only the columns c,
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.items import ITEM
-from ..store import written
+from ..store import unused, written
 
-MAX_ITEMS = 20  # of a condition set after pruning; more would give over a million subsets a row
+LISTED = 14  # items whose subsets are listed in one array
+MAX_ITEMS = 32  # of a condition set after pruning; more would give over four billion subsets a row
 FEW_ITEMS = 500  # frequent items that are handed to every task as one array; more are joined
 
 
@@ -41,11 +43,32 @@ def _distinct_rows(transactions: DataFrame, keep: bool = True) -> DataFrame:
     return written(rows, "transactions") if keep else rows
 
 
-def subsets(items: Column) -> Column:
-    """All non-empty subsets of an array, in the order of their bit masks."""
-    n = F.when(F.size(items) <= MAX_ITEMS, F.size(items)).otherwise(F.raise_error(F.lit(f"a condition set has more than {MAX_ITEMS} items")).cast("int"))
-    masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+def _picked(items: Column, mask: Column) -> Column:
+    return F.filter(items, lambda x, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
+
+
+def _masks(first: int, n: Column) -> Column:
+    """The bit masks from ``first`` to that of all n items."""
+    last = F.call_function("shiftleft", F.lit(1), n) - 1
+    return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+
+
+def with_subsets(df: DataFrame, items: str = "c", name: str = "antecedent") -> DataFrame:
+    """``df`` with a row for each non-empty subset of an array, in the order of their bit masks.
+
+    Subsets of the first ``LISTED`` items are listed in one array. Each subset of later items, if there
+    are any, is a row of its own before that, so that no row grows with the number of all subsets.
+    """
+    late = unused("_late", [*df.columns, name])
+    xs, n = F.col(f"`{items}`"), F.greatest(F.size(F.col(f"`{items}`")), F.lit(0))
+    checked = F.when(n <= MAX_ITEMS, F.greatest(n - LISTED, F.lit(0))).otherwise(F.raise_error(F.lit(f"a condition set has more than {MAX_ITEMS} items")).cast("int"))
+    rows = df.withColumn(late, F.explode(_masks(0, checked)))
+    later = _picked(F.slice(xs, LISTED + 1, MAX_ITEMS - LISTED), F.col(late))
+    first = F.when(F.col(late) > 0, 0).otherwise(1)  # the empty subset comes once, and is left out
+    listed = F.slice(xs, 1, LISTED)
+    early = F.filter(_masks(0, F.least(n, F.lit(LISTED))), lambda m: m >= first)
+    both = F.transform(early, lambda m: F.when(F.col(late) > 0, F.concat(_picked(listed, m), later)).otherwise(_picked(xs, m)))
+    return rows.withColumn(name, F.explode(both)).drop(late)
 
 
 def pruned(compacted: DataFrame, min_support: int, few: int = FEW_ITEMS) -> DataFrame:
@@ -68,7 +91,7 @@ def pruned(compacted: DataFrame, min_support: int, few: int = FEW_ITEMS) -> Data
 
 def antecedents(compacted: DataFrame) -> DataFrame:
     """antecedent, d, w: a row for each subset of each distinct condition set."""
-    return compacted.select(F.explode(subsets(F.col("c"))).alias("antecedent"), "d", "w")
+    return with_subsets(compacted).select("antecedent", "d", "w")
 
 
 def itemset_counts(transactions: DataFrame) -> DataFrame:
@@ -81,7 +104,7 @@ def itemset_counts(transactions: DataFrame) -> DataFrame:
 
 def itemset_members(transactions: DataFrame) -> DataFrame:
     """antecedent, tid: the transactions that contain each itemset, a row for each pair."""
-    return validated(transactions).select(F.explode(subsets(F.col("c"))).alias("antecedent"), "tid").distinct()
+    return with_subsets(validated(transactions)).select("antecedent", "tid").distinct()
 
 
 def merged_members(a: DataFrame, b: DataFrame, one: bool = False) -> DataFrame:
@@ -104,10 +127,13 @@ def rule_counts(transactions: DataFrame, min_support: int = 0, keep: bool = True
     ``keep`` writes the distinct rows once; without it the input is read for each count.
     """
     whole = _distinct_rows(transactions, keep)
-    rows = antecedents(pruned(whole, min_support))
-    n_a = rows.groupBy("antecedent").agg(F.sum("w").alias("n_a")).filter(F.col("n_a") > min_support)
-    n_ad = rows.select("antecedent", F.explode("d").alias("decision"), "w").groupBy("antecedent", "decision").agg(F.sum("w").alias("n_ad")).filter(F.col("n_ad") > min_support)
-    return n_ad.join(n_a, "antecedent").withColumn("n", whole.agg(F.sum("w")).scalar())
+    # a mark beside the decisions counts the antecedent itself, so subsets are made once and counted in one pass
+    marks = F.concat(F.array(F.struct(F.lit(False).alias("own"), F.lit(None).cast(ITEM).alias("decision"))), F.transform("d", lambda x: F.struct(F.lit(True).alias("own"), x.alias("decision"))))
+    rows = antecedents(pruned(whole, min_support).withColumn("d", marks)).select("antecedent", F.inline("d"), "w")
+    found = rows.groupBy("antecedent", "own", "decision").agg(F.sum("w").alias("n_ad")).filter(F.col("n_ad") > min_support)
+    n_a = F.max(F.when(~F.col("own"), F.col("n_ad"))).over(W.partitionBy("antecedent"))
+    counted = found.withColumn("n_a", n_a).filter(F.col("own") & F.col("n_a").isNotNull())
+    return counted.select("antecedent", "decision", "n_ad", "n_a").withColumn("n", whole.agg(F.sum("w")).scalar())
 
 
 def merged_counts(old: DataFrame, new: DataFrame) -> DataFrame:

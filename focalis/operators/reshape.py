@@ -1,7 +1,7 @@
 """Long, wide and encoded forms of categorical records.
 
 Null cells are no items; a null name or value has a null id; repeated rows stay repeated in long
-forms and count in weights. Helper columns (``_w``) must not be names of the input's columns.
+forms and count in weights. Helper columns get names that a table does not have.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import is_decision, item
+from ..store import unused
 from .datasets import numbered
 
 
@@ -48,8 +49,8 @@ def weighted_transactions(wide: DataFrame, columns: list[str], decisions: list[s
 
     Rows are grouped by their plain columns, before any array is built, so only distinct rows pay for that.
     """
-    distinct = wide.groupBy(*columns).agg(F.count("*").alias("_w"))
-    return transactions(distinct.withColumn("_w", F.col("_w").cast("long")), None, columns, decisions, weight="_w")
+    times = unused("_w", columns)
+    return transactions(wide.groupBy(*columns).agg(F.count("*").alias(times)), None, columns, decisions, weight=times)
 
 
 def from_long(long: DataFrame, tid: str) -> DataFrame:

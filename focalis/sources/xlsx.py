@@ -31,13 +31,18 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _text(rich: ET.Element) -> str:
+    """The text of a string and of its runs, without the reading aids (phonetic runs) that may stand beside them."""
+    return "".join(t.text or "" for x in rich if x.tag in (f"{_NS}t", f"{_NS}r") for t in x.iter(f"{_NS}t"))
+
+
 def rows_of(data: bytes) -> Iterator[list[str | None]]:
     """The cells of the first sheet, row by row, as strings; empty cells are None."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
+            shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
         first = next(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"))
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         target = links[first.get(_REL)].lstrip("/")
@@ -51,7 +56,7 @@ def rows_of(data: bytes) -> Iterator[list[str | None]]:
                     out += [None] * (at + 1 - len(out))
                     v = c.find(f"{_NS}v")
                     if c.get("t") == "inlineStr":
-                        out[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                        out[at] = "".join(map(_text, c.iter(f"{_NS}is")))
                     elif v is not None and v.text is not None:
                         out[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
                 yield out

@@ -44,6 +44,34 @@ def found(rules):
     return {(tuple(f"{x.name}={x.value}" for x in r.antecedent), f"{r.decision.name}={r.decision.value}", r.n_ad, r.n_a) for r in rules.collect()}
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, mining.LISTED, mining.LISTED + 1, mining.LISTED + 2])
+def test_subsets_in_mask_order(spark, n):
+    df = spark.createDataFrame([([(f"C{i:02d}", "x") for i in range(n)], 7)], TX.split(", ")[1] + ", _late int")
+    got = [(tuple(x.name for x in r.antecedent), r._late) for r in mining.with_subsets(df).collect()]
+    assert got == [(tuple(f"C{i:02d}" for i in range(n) if m >> i & 1), 7) for m in range(1, 1 << n)]
+
+
+def test_wide_sets(spark):
+    many = [f"C{i:02d}=x" for i in range(16)]
+    t = tx(spark, [(many, ["Q=1"])] * 3)
+    found = mining.rule_counts(t).agg(F.count("*").alias("n"), F.sum(F.size("antecedent")).alias("items"), F.min("n_ad").alias("least")).first()
+    assert found == (2**16 - 1, 16 * 2**15, 3)
+    with pytest.raises(Exception, match="more than 32 items"):
+        mining.itemset_counts(tx(spark, [([f"C{i:02d}=x" for i in range(33)], ["Q=1"])])).count()
+
+
+def test_counts_are_made_in_one_pass(m1):
+    """Spark's estimate of subsets is that of their rows before, so no join may rest on it."""
+    plan = mining.rule_counts(m1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 3
+
+
+def test_weights_beside_a_column_of_that_name(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "_w string, q int")
+    rows = reshape.weighted_transactions(df, ["_w", "q"], ["q"]).collect()
+    assert sorted((r.c[0].value, r.d[0].value, r.w) for r in rows) == [("a", "1", 2), ("b", "2", 1)]
+
+
 def test_mining_equals_brute_force_and_fpgrowth(spark):
     r = Random(4)
     rows = [([f"{n}={r.choice('uv')}" for n in "ABCD"[: r.randint(1, 4)]], [f"Q={r.choice('xyz')}"] + ["P=1"] * (r.random() < 0.5)) for _ in range(60)]

@@ -1,7 +1,9 @@
 """Odd files, errors, paths of many, and streams that start again."""
 
+import io
 import itertools
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +28,21 @@ def test_typed_errors(spark, tmp_path):
     assert readers.read_cleaned(spark, str(tmp_path / "wide.json")).first()["items"] == ["a"]
 
 
+def test_sheet_text_without_phonetic_runs():
+    rich = b'<si><r><t>to</t></r><r><t>kyo</t></r><rPh sb="0" eb="1"><t>reading</t></rPh></si>'
+    with zipfile.ZipFile(io.BytesIO(xlsx.xlsx_bytes(["x", "y"], [("1", "2")]))) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    sheet = "xl/worksheets/sheet1.xml"
+    parts[sheet] = parts[sheet].replace(b'<c t="inlineStr"><is><t xml:space="preserve">1</t></is></c>', b'<c t="s"><v>0</v></c>')
+    parts[sheet] = parts[sheet].replace(b'<is><t xml:space="preserve">2</t></is>', rich.replace(b"si>", b"is>"))
+    parts["xl/sharedStrings.xml"] = b'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">' + rich + b"</sst>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    assert list(xlsx.rows_of(out.getvalue())) == [["x", "y"], ["tokyo", "tokyo"]]
+
+
 def test_sheets_of_any_width(spark, tmp_path):
     a = xlsx.xlsx_bytes(["x", "y", "x"], [("1", None, "3"), ("4", "5", "6", "beyond")])
     b = xlsx.xlsx_bytes(["z", "X"], [("7", "8")])
