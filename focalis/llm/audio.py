@@ -9,7 +9,9 @@ Two recordings are aligned by the integers that they share: a histogram of the d
 their places gives the likely offsets, and the share of differing bits over the overlap at an offset
 tells whether they are the same sound. The integers of the queries are joined with those of all
 recordings, shared ones counted by pair and offset, and every offset with ``MIN_SHARED`` of them or more
-is verified; nothing is collected or broadcast, and cost follows the number of shared integers.
+is verified; nothing is collected, and cost follows the number of shared integers. The integers of the
+queries are broadcast only while Spark finds the table of classes below its threshold; they are seven
+times its bytes at most.
 Recordings with equal fingerprints form a class, whose least id stands for all of them, so copies
 are never expanded into pairs. The overlap has to be of ``MIN_OVERLAP`` integers, or the whole of the
 shorter recording if that has fewer; of a recording of one integer, that one has to be shared.

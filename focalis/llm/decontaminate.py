@@ -188,7 +188,8 @@ def joined_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     items = written(_items(benchmark, item_text, item_key).distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
     texts = rows.select(F.col(f"`{number}`").alias("doc"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     known = _seed_rows(items, "item", True)
-    hits = _seed_rows(texts, "doc", False).join(known.withColumnRenamed("place", "q"), "seed")
+    # Spark takes seeds to be as many as the bytes they are made from, and would broadcast them; a hot seed is split at run time
+    hits = _seed_rows(texts, "doc", False).join(known.withColumnRenamed("place", "q").hint("merge"), "seed")
     places = hits.select("doc", "item", (F.col("place") - F.col("q")).alias("shift")).distinct()
     places = written(places, "seed-hits")
     asked = places.join(items.select("item", F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item").join(texts, "doc").select("doc", "item_id", "shift", "item_text", "text")

@@ -91,6 +91,19 @@ def test_joins_find_the_same(spark, bench, odd_docs, no_docs):
     assert D.remove_leaks(odd_docs, bench, broadcast_words=0).count() == odd_docs.count() and D.remove_leaks(no_docs, bench, broadcast_words=0).count() == 0
 
 
+def test_seeds_are_not_broadcast(spark, bench, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    plans, made = {}, D.written
+
+    def seen(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return made(df, what)
+
+    monkeypatch.setattr(D, "written", seen)
+    D.leak_report(docs, bench, broadcast_words=0)
+    assert "SortMergeJoin" in plans["seed-hits"] and "Broadcast" not in plans["seed-hits"]
+
+
 def test_every_length_and_place():
     """Items of 1 to 13 words, whole and with each one and each two words changed, alone and within other text, against all alignments."""
     for n in range(1, 14):
