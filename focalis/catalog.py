@@ -519,15 +519,33 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sent_id, text: the sentences of all texts, cut after their stops; what has no word is none."""
-    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    """sent_id, text: the sentences of all texts, cut after their stops; what has no word is none.
+
+    Texts are dealt out first, the one time that they are shuffled, as a file of few row groups makes few tasks, and in
+    so many parts, as features and paths are many times as large as texts.
+    """
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn", "text")
     cut = F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), F.lit(0))).alias("i", "text")
     rows = rows.select("conv_id", "turn", cut).filter(F.col("text").rlike(WORD))
     return rows.select(((F.col("conv_id") * 100_000 + F.col("turn")) * 10_000 + F.col("i")).alias("sent_id"), "text")
 
 
+def ids_meet(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether sentences may share an id: of a repeated turn, or one outside of what ids hold. Only keys are shuffled."""
+    many = F.when(F.length("text") > 10_000, F.size(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), F.lit(0))))
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(many).alias("most"))
+    return not turns.filter("n > 1 or conv_id is null or turn is null or turn not between 0 and 99999 or most > 10000").isEmpty()
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.rule_tokens(sentences(spark, sf_dir))
+    """Sentences with their texts and tokens, a row for each id: all features of a sentence follow from its row."""
+    return features.rule_sentences(sentences(spark, sf_dir), ids_meet(spark, sf_dir))
+
+
+def known(rows: DataFrame) -> DataFrame:
+    """Those with an id, with the last token in the part of a gold word."""
+    return rows.filter("sent_id is not null").withColumn("gold", F.array(F.element_at("tokens", -1)["text"]))
 
 
 SENTS = r"""cut AS (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]*') AS parts FROM conversations WHERE text IS NOT NULL),
@@ -576,14 +594,10 @@ def relation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {TOKENS} SELECT l.sent_id, ord::INTEGER AS ord, 'SENTENCE_' || replace(upper(rel), ':', '_') AS name, CASE WHEN head = w THEN '1' ELSE '2' END AS value FROM links l JOIN (SELECT sent_id, CASE WHEN word = 'How many' THEN 'How' ELSE word END AS w FROM struct_words) s ON l.sent_id = s.sent_id AND (head = w OR dep = w)")
 def edge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(spark, sf_dir)
-    words = features.structure_word(t).select("sent_id", features.located(F.col("word")).alias("word"))
-    return features.edge_positions(features.edges(t), words, "SENTENCE_")
-
-
-def last_words(t: DataFrame) -> DataFrame:
-    """The last token of each sentence, in the part of a gold word."""
-    return t.groupBy("sent_id").agg(F.max_by("text", F.struct("sub_sent", "idx")).alias("word"))
+    ts = F.col("tokens")
+    places = features.positions_of(features.edges_of(ts), features.located(F.col("word")), "SENTENCE_")
+    rows = known(tokens(spark, sf_dir)).select("sent_id", "tokens", features.structure_of(ts)["word"].alias("word")).filter("word is not null")
+    return rows.select("sent_id", F.inline(places))
 
 
 @_query(
@@ -592,22 +606,22 @@ hit AS (SELECT l.sent_id, q, ord, replace(upper(rel), ':', '_') AS rel, q = head
 SELECT sent_id, q, ord::INTEGER AS ord, rel || '_1' AS value FROM hit WHERE h UNION ALL SELECT sent_id, q, ord::INTEGER, rel || '_2' FROM hit WHERE d"""
 )
 def direct_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(spark, sf_dir)
-    pairs = features.structure_word(t).select("sent_id", F.col("word").alias("s")).filter("s is not null").join(last_words(t).withColumnRenamed("word", "q"), "sent_id")
-    return features.direct_dependency(features.edges(t), pairs)
+    ts = F.col("tokens")
+    rows = known(tokens(spark, sf_dir)).select("sent_id", "tokens", "gold", features.structure_of(ts)["word"].alias("s")).filter("s is not null")
+    found = F.filter(features.directs_of(features.edges_of(ts), F.col("s")), lambda x: F.array_contains("gold", x["q"]))
+    return rows.select("sent_id", F.inline(found))
 
 
 @_query(f"WITH {TOKENS} SELECT l.sent_id, t.text AS word, t.xpos AS pos FROM (SELECT sent_id, lower(q) AS q FROM lasts) l JOIN toks t ON l.sent_id = t.sent_id AND t.low = l.q QUALIFY row_number() OVER (PARTITION BY l.sent_id ORDER BY t.idx) = 1")
 def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(spark, sf_dir)
-    return features.question_word(t, last_words(t))
+    return known(tokens(spark, sf_dir)).select("sent_id", features.answer_of(F.col("tokens"), F.col("gold")).alias("q")).select("sent_id", "q.word", "q.pos")
 
 
 @_query(f"WITH {TOKENS} SELECT sent_id, q AS word, true AS ok FROM lasts JOIN sents USING (sent_id)")
 def gold_word_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of last words; each is a run of letters and digits, so each is found in its sentence."""
-    s = sentences(spark, sf_dir)
-    return features.validated_gold(s, last_words(features.rule_tokens(s))).select("sent_id", "word", "ok")
+    rows = known(tokens(spark, sf_dir)).select("sent_id", F.col("gold")[0].alias("word"), F.explode("texts").alias("text"))
+    return features.checked(rows).select("sent_id", "word", "ok")
 
 
 CONDITION_ROWS = """s AS (SELECT w.*, text FROM struct_words w JOIN sents USING (sent_id) WHERE word IS NOT NULL),
@@ -623,9 +637,7 @@ c AS (
     f"WITH {TOKENS}, {CONDITION_ROWS} SELECT sent_id, name, value FROM c"
 )
 def condition_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    return features.condition_features(s, features.edges(t), features.structure_word(t))
+    return features.condition_features(known(tokens(spark, sf_dir)))
 
 
 #: Shortest paths from ``src`` (sent_id, source): distances first, then the walks along them.
@@ -659,10 +671,8 @@ led AS (SELECT DISTINCT w.sent_id, path FROM walk w JOIN lasts l ON l.sent_id =
 SELECT sent_id, name, value FROM c UNION ALL SELECT sent_id, name, value FROM own UNION ALL SELECT sent_id, 'DEPENDENCY_PATH', path FROM led"""
 )
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    gold = last_words(t)
-    return features.training_table(s, t, gold, paths.from_structure_word(s, t, gold))
+    rows = known(tokens(spark, sf_dir))
+    return features.training_table(None, rows, paths=paths.from_structure_word(None, rows, to=F.col("gold")))
 
 
 @_query(
@@ -671,29 +681,19 @@ SELECT sent_id, word, place, name, value FROM (SELECT * FROM own UNION ALL SELEC
 )
 def query_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every sentence as a candidate: what makes it the answer, paths included."""
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    _, candidates = features.query_table(s, t, paths.from_structure_word(s, t))
+    rows = known(tokens(spark, sf_dir))
+    _, candidates = features.query_table(None, rows, paths.from_structure_word(None, rows))
     return candidates.select("sent_id", "word", F.col("pos.idx").alias("place"), "item.name", "item.value")
 
 
-def _sources(s: DataFrame, t: DataFrame) -> DataFrame:
-    return features.structure_word(t).filter("word is not null").join(s, "sent_id").select("sent_id", paths.start_of(F.col("word"), F.col("text")).alias("source"))
-
-
 @_query(f"WITH RECURSIVE {TOKENS}, {PATHS} SELECT w.sent_id, source, node AS target, path FROM walk w JOIN lasts l ON l.sent_id = w.sent_id AND node = q JOIN src ON src.sent_id = w.sent_id WHERE d > 0")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    pairs = _sources(s, t).join(last_words(t).withColumnRenamed("word", "target"), "sent_id")
-    return paths.shortest_paths(features.edges(t), pairs).drop("ord")
+    return paths.paths_in(paths.starts(known(tokens(spark, sf_dir)), F.col("gold"))).drop("ord", "pos")
 
 
 @_query(f"WITH RECURSIVE {TOKENS}, {PATHS} SELECT w.sent_id, source, node AS target, path FROM walk w JOIN src ON src.sent_id = w.sent_id WHERE d > 0")
 def all_target_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    return paths.shortest_paths(features.edges(t), _sources(s, t).withColumn("target", F.lit(None).cast("string"))).drop("ord")
+    return paths.paths_in(paths.starts(known(tokens(spark, sf_dir)))).drop("ord", "pos")
 
 
 @_query(
@@ -703,9 +703,7 @@ SELECT n.sent_id, source, n.node, t.node AS "before", step, n.d::BIGINT AS steps
 )
 def path_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges that all shortest paths are made of, and how many paths there are to each word."""
-    s = sentences(spark, sf_dir)
-    t = features.rule_tokens(s)
-    return paths.path_graph(features.edges(t), _sources(s, t))
+    return paths.graph_in(paths.starts(known(tokens(spark, sf_dir))))
 
 
 @_query(
@@ -714,9 +712,9 @@ SELECT sent_id, words, edges FROM t JOIN e USING (sent_id)"""
 )
 def sentence_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens with their tags, and the dependencies, of each sentence."""
-    t = tokens(spark, sf_dir)
-    both = features.words_pos(t).join(features.dependencies(features.edges(t)), "sent_id")
-    return both.select("sent_id", F.array_join(F.transform("words", lambda x: F.concat_ws("/", x["word"], x["pos"])), " ").alias("words"), F.array_join(F.transform("edges", lambda x: F.concat(x["head"], F.lit(">"), x["dep"], F.lit(":"), x["rel"])), " ").alias("edges"))
+    link = lambda x: F.concat(x["head"], F.lit(">"), x["dep"], F.lit(":"), x["rel"])
+    told = F.transform(features.edges_of(F.col("tokens")), link)
+    return known(tokens(spark, sf_dir)).select("sent_id", F.array_join(F.transform("tokens", lambda x: F.concat_ws("/", x["text"], x["xpos"])), " ").alias("words"), F.array_join(told, " ").alias("edges"))
 
 
 @_query(f"WITH {RULES} SELECT antecedent, decision, confidence FROM rules")

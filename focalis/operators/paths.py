@@ -1,7 +1,7 @@
 """All shortest simple paths between words of a dependency graph.
 
 Nodes are word texts, so repeated words are one node; every edge can be walked both ways. The
-edges of one sentence are gathered in one row (a sentence is small) and searched breadth first,
+edges of one sentence lie in one row (a sentence is small) and are searched breadth first,
 a batch of sentences at a time. There may be very many paths between two words (each of several
 parallel edges gives its own): they are walked one by one and handed on in batches, and
 ``path_graph`` gives, instead of the paths, the edges that they are made of and their number.
@@ -110,14 +110,24 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A target equal to the source has no rows; nor has one that cannot be reached.
     """
-    def rows(triples: list, source: str, target: str | None) -> Iterator[tuple]:
+    return paths_in(_packed(edges, pairs)).drop("pos")
+
+
+def paths_in(ready: DataFrame) -> DataFrame:
+    """The same and pos (sub_sent, idx), where the target comes first, of gathered sentences: sent_id, edges, pairs. Nothing is shuffled."""
+
+    def rows(found: list[dict], triples: list, source: str, target: str | None) -> Iterator[tuple]:
+        places = {}
+        for e in found:
+            places.setdefault(e["dep"], (e["sub_sent"], e["idx"]))
         last, i = None, 0
         for node, path in walked(triples, source, target):
             i = i + 1 if node == last else 0
             last = node
-            yield source, node, i, path
+            yield source, node, i, path, *places.get(node, (None, None))
 
-    return _searched(edges, pairs, rows, "source string, target string, ord long, path string")
+    found = _searched(ready, rows, "source string, target string, ord long, path string, sub_sent int, idx int")
+    return found.select("sent_id", "source", "target", "ord", "path", F.struct("sub_sent", "idx").alias("pos"))
 
 
 def path_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -126,27 +136,36 @@ def path_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     Following ``before`` back to the source lists the paths; there are ``n_paths`` (as a double) to
     a node. As many rows as edges at most, however many paths they make. ``pairs``: sent_id, source.
     """
+    return graph_in(_packed(edges, pairs.select("sent_id", "source", F.lit(None).cast("string").alias("target"))))
+
 
-    def rows(triples: list, source: str, target: str | None) -> Iterator[tuple]:
+def graph_in(ready: DataFrame) -> DataFrame:
+    """The same of gathered sentences: sent_id, edges, pairs, with null targets."""
+
+    def rows(found: list[dict], triples: list, source: str, target: str | None) -> Iterator[tuple]:
         for row in graph_of(triples, source):
             yield source, *row
 
-    asked = pairs.select("sent_id", "source", F.lit(None).cast("string").alias("target"))
-    return _searched(edges, asked, rows, "source string, node string, before string, step string, steps long, n_paths double")
+    return _searched(ready, rows, "source string, node string, before string, step string, steps long, n_paths double")
 
 
-def _searched(edges: DataFrame, pairs: DataFrame, rows: Callable, schema: str) -> DataFrame:
-    """sent_id and the columns that ``rows`` gives for each pair of a sentence."""
-    packed = edges.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep"))).alias("edges"))
+def _packed(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sent_id, edges, pairs of tables of them; the places of words are not known."""
+    nowhere = [F.lit(None).cast("int").alias(c) for c in ("sub_sent", "idx")]
+    packed = edges.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep", *nowhere))).alias("edges"))
     wanted = pairs.filter("source is not null").groupBy("sent_id").agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
-    ready = wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
+    return wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
+
+
+def _searched(ready: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    """sent_id and the columns that ``rows`` gives for each pair of a sentence."""
     names = ["sent_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
 
         def taken() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
             out.clear()
             return made
 
@@ -154,13 +173,15 @@ def _searched(edges: DataFrame, pairs: DataFrame, rows: Callable, schema: str) -
             for sent, found, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 triples = [(e["rel"], e["head"], e["dep"]) for e in found]
                 for p in asked:
-                    for row in rows(triples, p["source"], p["target"]):
+                    for row in rows(found, triples, p["source"], p["target"]):
                         out.append((sent, *row))
                         if len(out) >= BATCH:
                             yield taken()
         if out:
             yield taken()
 
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = [pa.int64(), *(arrow[c.split()[1]] for c in schema.split(", "))]
     return ready.mapInArrow(run, f"sent_id long, {schema}")
 
 
@@ -174,8 +195,19 @@ def start_of(word: Column, text: Column) -> Column:
     return F.when((word == features.HOW_MANY) & ~text.contains("How"), "how").otherwise(features.located(word))
 
 
-def from_structure_word(sentences: DataFrame, tokens: DataFrame, gold: DataFrame | None = None) -> DataFrame:
-    """sent_id, word, path: the paths from the structure word to the gold word, or to every other word if there is no ``gold``."""
-    sources = features.structure_word(tokens).filter("word is not null").join(sentences, "sent_id").select("sent_id", start_of(F.col("word"), F.col("text")).alias("source"))
-    pairs = sources.withColumn("target", F.lit(None).cast("string")) if gold is None else sources.join(gold.select("sent_id", F.col("word").alias("target")), "sent_id")
-    return shortest_paths(features.edges(tokens), pairs).select("sent_id", F.col("target").alias("word"), "path")
+def starts(rows: DataFrame, to: Column | None = None) -> DataFrame:
+    """sent_id, edges, pairs of gathered sentences: from the structure word to each word of the array ``to``, or to all if there is none; without a structure word no pairs."""
+    targets = F.array(F.lit(None).cast("string")) if to is None else to
+    ready = rows.select("sent_id", "texts", features.edges_of(F.col("tokens")).alias("edges"), features.structure_of(F.col("tokens"))["word"].alias("word"), targets.alias("targets"))
+    pairs = F.transform("texts", lambda text: F.transform("targets", lambda t: F.struct(start_of(F.col("word"), text).alias("source"), t.alias("target"))))
+    return ready.filter("word is not null").select("sent_id", "edges", F.array_distinct(F.filter(F.flatten(pairs), lambda p: p["source"].isNotNull())).alias("pairs"))
+
+
+def from_structure_word(sentences: DataFrame | None, tokens: DataFrame, gold: DataFrame | None = None, to: Column | None = None) -> DataFrame:
+    """sent_id, word, pos, path: the paths from the structure word to the gold word, or to every other word if there is no ``gold``.
+
+    Of gathered tokens, which bring ``texts``, to each word of the array ``to``.
+    """
+    rows = features.gathered(tokens, sentences, gold)
+    found = paths_in(starts(rows, F.col("gold") if gold is not None else to))
+    return found.select("sent_id", F.col("target").alias("word"), "pos", "path")
