@@ -20,6 +20,8 @@ from ..store import unused, written
 
 LISTED = 14  # items whose subsets are listed in one array
 MAX_ITEMS = 32  # of a condition set after pruning; more would give over four billion subsets a row
+MOST_ITEMSETS = 10_000_000  # of distinct rows by FP-growth; beyond that rare ones are cut off as it counts
+_PART = 10_000  # times that a row is repeated at once
 FEW_ITEMS = 500  # frequent items that are handed to every task as one array; more are joined
 
 
@@ -160,16 +162,40 @@ def mine_rules(transactions: DataFrame, min_support: int, min_confidence: float)
     return rules(rule_counts(transactions, min_support), min_support, min_confidence)
 
 
-def mine_with_fpgrowth(transactions: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
-    """The same rules by the built-in FP-growth, for comparison: antecedent, decision, confidence as doubles."""
+def mine_with_fpgrowth(transactions: DataFrame, min_support: int, min_confidence: float, most: int = MOST_ITEMSETS) -> DataFrame:
+    """The same rules by the built-in FP-growth, for comparison: antecedent, decision, confidence as doubles.
+
+    FP-growth knows no weights. So a distinct row is a basket for each binary digit of its weight, with
+    the digit as one more item, and what an itemset counts beside each digit is added up: as many
+    baskets as distinct rows, times the digits. Nothing rare can be cut off before it is added up, so
+    where there might be more than ``most`` itemsets, a row is a basket as often as it occurs instead.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    both = transactions.select(F.concat(F.transform("c", lambda x: F.struct(F.lit("C").alias("k"), x["name"], x["value"])), F.transform("d", lambda x: F.struct(F.lit("D").alias("k"), x["name"], x["value"]))).alias("xs"))
-    baskets = both.select(F.transform("xs", lambda x: F.to_json(x)).alias("items"))
-    n = baskets.count()
-    model = FPGrowth(minSupport=(min_support + 0.5) / max(n, 1), minConfidence=0.0).fit(baskets)
     schema = "k string, name string, value string"
-    found = model.associationRules.select(F.transform("antecedent", lambda x: F.from_json(x, schema)).alias("a"), F.from_json(F.col("consequent")[0], schema).alias("d"), "confidence")
-    found = found.filter((F.col("d.k") == "D") & F.forall("a", lambda x: x["k"] == "C") & (F.col("confidence") > min_confidence))
-    plain = F.array_sort(F.transform("a", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
-    return found.select(plain.alias("antecedent"), F.struct(F.col("d.name").alias("name"), F.col("d.value").alias("value")).alias("decision"), "confidence")
+    item = lambda k: lambda x: F.to_json(F.struct(F.lit(k).alias("k"), x["name"], x["value"]))
+    rows = pruned(written(compact(transactions), "transactions"), min_support)
+    rows = rows.select(F.concat(F.transform("c", item("C")), F.transform("d", item("D"))).alias("items"), F.col("w").cast("long").alias("w"))
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda j: F.call_function("shiftright", F.col("w"), j).bitwiseAND(F.lit(1)) == 1)
+    n, n_baskets, n_itemsets = rows.agg(F.sum("w"), F.sum(F.size(digits)), F.sum(F.size(digits) * F.pow(F.lit(2.0), F.size("items") + 1))).first()
+    if (n_itemsets or 0) <= most:
+        baskets = rows.select(F.explode(digits).alias("digit"), "items").select(F.concat("items", F.array(F.col("digit").cast("string"))).alias("items"))
+        least = 0.5 / max(n_baskets or 0, 1)
+    else:
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("w") - 1) / _PART)))
+        parts = rows.select("items", "w", part.alias("part")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        baskets = parts.select("items", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(_PART), F.col("w") - F.col("part") * _PART).cast("int")))).select("items")
+        least = (min_support + 0.5) / max(n, 1)
+    is_digit = lambda x: ~x.startswith("{")
+    found = FPGrowth(minSupport=least, minConfidence=0.0).fit(baskets).freqItemsets
+    if (n_itemsets or 0) <= most:
+        found = found.filter(F.exists("items", is_digit))
+        digit = F.filter("items", is_digit)[0].cast("int")
+        found = found.select(F.array_sort(F.filter("items", lambda x: ~is_digit(x))).alias("items"), F.call_function("shiftleft", F.col("freq"), digit).alias("freq"))
+        found = found.groupBy("items").agg(F.sum("freq").alias("freq"))
+    parsed = found.select(F.transform("items", lambda x: F.from_json(x, schema)).alias("xs"), "freq").filter(F.col("freq") > min_support)
+    of = lambda k: F.transform(F.filter("xs", lambda x: x["k"] == k), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    sides = parsed.select(F.array_sort(of("C")).alias("antecedent"), of("D").alias("ds"), "freq").filter((F.size("antecedent") > 0) & (F.size("ds") <= 1))
+    n_a = F.max(F.when(F.size("ds") == 0, F.col("freq"))).over(W.partitionBy("antecedent"))
+    rules_ = sides.withColumn("n_a", n_a).filter(F.size("ds") == 1).select("antecedent", F.col("ds")[0].alias("decision"), (F.col("freq") / F.col("n_a")).alias("confidence"))
+    return rules_.filter(F.col("confidence") > min_confidence)

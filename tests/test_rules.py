@@ -167,3 +167,17 @@ def test_data_sets(spark):
     assert datasets.equal(rows, rows.orderBy("x")) and not datasets.equal(rows, rows.union(rows.limit(1)))
     assert datasets.sample_fixed(rows, 20, 1).count() == 20
     assert sorted(map(tuple, datasets.sample_fixed(rows, 20, 1).collect())) == sorted(map(tuple, datasets.sample_fixed(rows.orderBy("x"), 20, 1).collect()))
+
+
+def test_fpgrowth_by_digits_of_weights(spark):
+    """As many baskets as distinct rows have binary digits, however often rows occur; the same rules as by repeated rows and by counting."""
+    rows = [([("A", str(i % 3)), ("B", str(i % 5))], [("Q", str(i % 2)), ("R", str(i % 4))], 1000 * i + 3) for i in range(12)] + [([], [("Q", "1")], 5), ([("A", "1")], [], 4)]
+    t = spark.createDataFrame(rows, "c array<struct<name:string,value:string>>, d array<struct<name:string,value:string>>, w long")
+    text = lambda df: sorted((str(r.antecedent), str(r.decision), round(r.confidence, 12)) for r in df.collect())
+    digits, repeats = (text(mining.mine_with_fpgrowth(t, 4000, 0.1, most=n)) for n in (10**7, 0))
+    assert digits == repeats and len(digits) > 10
+    whole = t.filter("size(c) > 0 and size(d) > 0")
+    assert text(mining.mine_with_fpgrowth(whole, 4000, 0.1)) == text(mining.mine_rules(whole, 4000, 0.1))
+    assert not mining.mine_with_fpgrowth(whole.limit(0), 1, 0.1).collect()
+    huge = whole.withColumn("w", F.col("w") * 1_000_000_000)
+    assert text(mining.mine_with_fpgrowth(huge, 4000, 0.1)) == text(mining.mine_rules(huge, 4000, 0.1))
