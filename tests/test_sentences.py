@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from focalis.operators import features, paths
 
 SF = "/root/testdata/sf0.001"
-SHUFFLES = {"query_candidates": 2}
+SHUFFLES = {"query_candidates": 2, "training_features": 2}
 
 
 @pytest.mark.parametrize("name", SHUFFLES)
