@@ -74,7 +74,7 @@ def gathered(tokens: DataFrame, sentences: DataFrame | None = None, gold: DataFr
 
 
 def edges_of(tokens: Column) -> Column:
-    """The edges of a sentence's tokens in order: ord, rel, head, dep, and sub_sent and idx of the dependent."""
+    """The edges of a sentence's tokens in order: ord, rel, head, dep."""
 
     def numbered(ts: Column) -> Column:
         labels = F.array_distinct(F.transform(ts, lambda t: t["deprel"]))
@@ -84,7 +84,7 @@ def edges_of(tokens: Column) -> Column:
 
     def edge(x: Column, head: Column) -> Column:
         t = x["t"]
-        return F.struct(x["ord"].alias("ord"), x["rel"].alias("rel"), F.coalesce(head, t["text"]).alias("head"), t["text"].alias("dep"), t["sub_sent"].alias("sub_sent"), t["idx"].alias("idx"))
+        return F.struct(x["ord"].alias("ord"), x["rel"].alias("rel"), F.coalesce(head, t["text"]).alias("head"), t["text"].alias("dep"))
 
     def follows(t: Column, last: Column) -> Column:
         return F.coalesce(t["idx"] == F.when(t["sub_sent"] == last["sub_sent"], last["idx"] + 1).otherwise(1), F.lit(False))
@@ -130,7 +130,7 @@ def structure_of(tokens: Column) -> Column:
 def edges(tokens: DataFrame) -> DataFrame:
     """sent_id, ord, rel, head, dep: labels numbered from 0 in word order over the whole text; a root is its own head."""
     ts = F.when(F.col("sent_id").isNotNull(), F.col("tokens")).otherwise(F.transform("tokens", lambda t: t.withField("head", F.lit(None).cast("int"))))  # without an id no token has a head
-    return gathered(tokens).select("sent_id", F.inline(edges_of(ts))).drop("sub_sent", "idx")
+    return gathered(tokens).select("sent_id", F.inline(edges_of(ts)))
 
 
 def structure_word(tokens: DataFrame, strict: bool = False) -> DataFrame:

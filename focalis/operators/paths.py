@@ -16,29 +16,31 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features
 
 #: Fixed format: a step is the relation, a full-width colon and the direction.
-STEP, JOINT, FORTH, BACK = "[%s：%s]", " --> ", "-->", "<--"
+JOINT, FORTH, BACK = " --> ", "-->", "<--"
 #: Paths of a batch that are handed on at once.
 BATCH = 10_000
 
 
-def _layers(edges: list[tuple[str, str, str]], source: str, target: str | None) -> tuple[dict[str, int], dict[str, list[tuple[str, str]]]]:
-    """Distances from the source (up to the target's), in the order in which nodes are met, and the steps of each node."""
-    graph: dict[str, list[tuple[str, str]]] = defaultdict(list)
+def _layers(edges: list[tuple[str, str, str]], source: str, target: str | None) -> tuple[dict[str, int], dict[str, list[tuple[str, str, str]]]]:
+    """Distances from the source (up to the target's), in the order in which nodes are met, and the steps of each node, there and back."""
+    graph: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
     for rel, head, dep in edges:
         if head is not None and dep is not None:
-            graph[head].append((dep, STEP % (rel, FORTH)))
-            graph[dep].append((head, STEP % (rel, BACK)))
+            forth, back = f"[{rel}：{FORTH}]", f"[{rel}：{BACK}]"
+            graph[head].append((dep, forth, back))
+            graph[dep].append((head, back, forth))
     far, layer = {source: 0}, [source]
     while layer and target not in far:
         later = []
         for node in layer:
-            for other, _ in graph.get(node, ()):
+            for other, _, _ in graph.get(node, ()):
                 if other not in far:
                     far[other] = far[node] + 1
                     later.append(other)
@@ -46,12 +48,12 @@ def _layers(edges: list[tuple[str, str, str]], source: str, target: str | None)
     return far, graph
 
 
-def _walks(far: dict[str, int], graph: dict[str, list[tuple[str, str]]], source: str, target: str) -> Iterator[str]:
+def _walks(far: dict[str, int], graph: dict[str, list[tuple[str, str, str]]], source: str, target: str) -> Iterator[str]:
     """The shortest paths to one node as text, one after the other; memory is bounded by the graph."""
     leads, todo = {target}, [target]  # nodes on the way
     while todo:
         node = todo.pop()
-        for other, _ in graph.get(node, ()):
+        for other, _, _ in graph.get(node, ()):
             if far.get(other, -2) == far[node] - 1 and other not in leads:
                 leads.add(other)
                 todo.append(other)
@@ -59,7 +61,7 @@ def _walks(far: dict[str, int], graph: dict[str, list[tuple[str, str]]], source:
     at = [iter(graph.get(source, ()))]
     node_far = [0]
     while at:
-        for other, step in at[-1]:
+        for other, step, _ in at[-1]:
             if other in leads and far[other] == node_far[-1] + 1:
                 if other == target:
                     yield JOINT.join([*path, step])
@@ -98,11 +100,11 @@ def graph_of(edges: list[tuple[str, str, str]], source: str) -> Iterator[tuple[s
     number = {source: 1.0}
     for node in far:  # by distance
         if node != source:
-            before = [(other, back) for other, back in graph[node] if far[other] == far[node] - 1]
-            number[node] = sum(number[other] for other, _ in before)
-            for other, back in before:
-                step = back.replace(FORTH, BACK) if FORTH in back else back.replace(BACK, FORTH)
-                yield node, other, step, far[node], number[node]
+            steps = far[node]
+            before = [(other, step) for other, _, step in graph[node] if far[other] == steps - 1]
+            number[node] = n = sum(number[other] for other, _ in before)
+            for other, step in before:
+                yield node, other, step, steps, n
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -114,12 +116,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def paths_in(ready: DataFrame) -> DataFrame:
-    """The same and pos (sub_sent, idx), where the target comes first, of gathered sentences: sent_id, edges, pairs. Nothing is shuffled."""
+    """The same and pos (sub_sent, idx), where the target comes first, of gathered sentences: sent_id, tokens, pairs. Nothing is shuffled."""
 
-    def rows(found: list[dict], triples: list, source: str, target: str | None) -> Iterator[tuple]:
-        places = {}
-        for e in found:
-            places.setdefault(e["dep"], (e["sub_sent"], e["idx"]))
+    def rows(triples: list, places: dict, source: str, target: str | None) -> Iterator[tuple]:
         last, i = None, 0
         for node, path in walked(triples, source, target):
             i = i + 1 if node == last else 0
@@ -140,9 +139,9 @@ def path_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def graph_in(ready: DataFrame) -> DataFrame:
-    """The same of gathered sentences: sent_id, edges, pairs, with null targets."""
+    """The same of gathered sentences: sent_id, tokens, pairs, with null targets."""
 
-    def rows(found: list[dict], triples: list, source: str, target: str | None) -> Iterator[tuple]:
+    def rows(triples: list, places: dict, source: str, target: str | None) -> Iterator[tuple]:
         for row in graph_of(triples, source):
             yield source, *row
 
@@ -151,15 +150,44 @@ def graph_in(ready: DataFrame) -> DataFrame:
 
 def _packed(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """sent_id, edges, pairs of tables of them; the places of words are not known."""
-    nowhere = [F.lit(None).cast("int").alias(c) for c in ("sub_sent", "idx")]
-    packed = edges.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep", *nowhere))).alias("edges"))
+    packed = edges.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rel", "head", "dep"))).alias("edges"))
     wanted = pairs.filter("source is not null").groupBy("sent_id").agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
     return wanted.join(packed, "sent_id").select("sent_id", "edges", "pairs")
 
 
+def linked(tokens: list[tuple]) -> tuple[list[tuple[str, str, str]], dict[str, tuple[int, int]]]:
+    """(rel, head, dep) as ``features.edges`` has them, of (sub_sent, idx, text, head, deprel) in order, and where each word comes first."""
+    at: dict[tuple, list[str]] = defaultdict(list)
+    places: dict[str, tuple[int, int]] = {}
+    for sub, idx, text, _, _ in tokens:
+        at[sub, idx].append(text)
+        places.setdefault(text, (sub, idx))
+    seen: dict[str, int] = defaultdict(int)
+    triples = []
+    for sub, _, text, head, label in tokens:
+        rel = None if label is None else f"{label}_{seen[label]}"
+        seen[label] += 1
+        for other in (sub is not None and head is not None and at.get((sub, head))) or (text,):
+            triples.append((rel, text if other is None else other, text))
+    return triples, places
+
+
+def _lists(column: pa.ListArray, names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The structs of each row as tuples of some of their fields, field by field, which costs a fraction of dicts."""
+    held = column.flatten()
+    values, at = list(zip(*(held.field(n).to_pylist() for n in names))), 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield values[at : at + (n or 0)]
+        at += n or 0
+
+
 def _searched(ready: DataFrame, rows: Callable, schema: str) -> DataFrame:
-    """sent_id and the columns that ``rows`` gives for each pair of a sentence."""
+    """sent_id and the columns that ``rows`` gives for each pair of a sentence, whose edges are given or follow from its tokens."""
     names = ["sent_id", *(c.split()[0] for c in schema.split(", "))]
+    given = "edges" in ready.columns
+    fields = ("rel", "head", "dep") if given else ("sub_sent", "idx", "text", "head", "deprel")
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = [pa.int64(), *(arrow[c.split()[1]] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -170,19 +198,18 @@ def _searched(ready: DataFrame, rows: Callable, schema: str) -> DataFrame:
             return made
 
         for batch in batches:
-            for sent, found, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                triples = [(e["rel"], e["head"], e["dep"]) for e in found]
-                for p in asked:
-                    for row in rows(found, triples, p["source"], p["target"]):
+            sents, found, asked = batch.columns
+            for sent, ts, ps in zip(sents.to_pylist(), _lists(found, fields), _lists(asked, ("source", "target"))):
+                triples, places = (ts, {}) if given else linked(ts)
+                for source, target in ps:
+                    for row in rows(triples, places, source, target):
                         out.append((sent, *row))
                         if len(out) >= BATCH:
                             yield taken()
         if out:
             yield taken()
 
-    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    types = [pa.int64(), *(arrow[c.split()[1]] for c in schema.split(", "))]
-    return ready.mapInArrow(run, f"sent_id long, {schema}")
+    return ready.select("sent_id", "edges" if given else "tokens", "pairs").mapInArrow(run, f"sent_id long, {schema}")
 
 
 def by_sentence(found: DataFrame) -> DataFrame:
@@ -196,11 +223,11 @@ def start_of(word: Column, text: Column) -> Column:
 
 
 def starts(rows: DataFrame, to: Column | None = None) -> DataFrame:
-    """sent_id, edges, pairs of gathered sentences: from the structure word to each word of the array ``to``, or to all if there is none; without a structure word no pairs."""
+    """sent_id, tokens, pairs of gathered sentences: from the structure word to each word of the array ``to``, or to all if there is none; without a structure word no pairs."""
     targets = F.array(F.lit(None).cast("string")) if to is None else to
-    ready = rows.select("sent_id", "texts", features.edges_of(F.col("tokens")).alias("edges"), features.structure_of(F.col("tokens"))["word"].alias("word"), targets.alias("targets"))
+    ready = rows.select("sent_id", "texts", "tokens", features.structure_of(F.col("tokens"))["word"].alias("word"), targets.alias("targets"))
     pairs = F.transform("texts", lambda text: F.transform("targets", lambda t: F.struct(start_of(F.col("word"), text).alias("source"), t.alias("target"))))
-    return ready.filter("word is not null").select("sent_id", "edges", F.array_distinct(F.filter(F.flatten(pairs), lambda p: p["source"].isNotNull())).alias("pairs"))
+    return ready.filter("word is not null").select("sent_id", "tokens", F.array_distinct(F.filter(F.flatten(pairs), lambda p: p["source"].isNotNull())).alias("pairs"))
 
 
 def from_structure_word(sentences: DataFrame | None, tokens: DataFrame, gold: DataFrame | None = None, to: Column | None = None) -> DataFrame:
