@@ -41,8 +41,12 @@ DECISION = "o_orderpriority"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return _with_orders(rows, spark, sf_dir)
+
+
+def _with_orders(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     return rows.join(orders, rows["l_orderkey"] == orders["o_orderkey"]).drop("o_orderkey")
 
 
@@ -380,11 +384,21 @@ def experiment_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.experiments_accuracy(mining.rule_counts(tx, 5), line_sets(tx), line_candidates(tx), line_gold(tx))
 
 
+def sampled_lines(spark: SparkSession, sf_dir: str, n: int, first: int = 1000) -> DataFrame:
+    """``datasets.sample_fixed`` of all lines by their keys, which are drawn first: only the ``first`` ones meet the orders.
+
+    The sample lies in them if n of them have an order; else all lines are joined.
+    """
+    by = ["l_orderkey", "l_linenumber"]
+    drawn = written(datasets.sample_fixed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), max(n, first), by=by), "drawn")
+    found = datasets.sample_fixed(_with_orders(F.broadcast(drawn), spark, sf_dir), n, by=by)
+    return found if found.count() == n else datasets.sample_fixed(lines(spark, sf_dir), n, by=by)
+
+
 @_query()
 def timing_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty sampled lines, the size of the sample being the feature, in every cell of the timed experiment."""
-    rows = lines(spark, sf_dir).withColumn("at", F.struct("l_orderkey", "l_linenumber"))
-    some = datasets.sample_fixed(rows, 20, by=["l_orderkey", "l_linenumber"])
+    some = sampled_lines(spark, sf_dir, 20).withColumn("at", F.struct("l_orderkey", "l_linenumber"))
     sentences = reshape.transactions(some, "at", [*CONDITIONS, DECISION], [DECISION]).select(F.to_json("tid").alias("sent_id"), "c")
     return sweep.timed_lookup(mining.rule_counts(line_table(spark, sf_dir), 20), sweep.EXPERIMENTS["experiment_1"].cells(), sentences)
 

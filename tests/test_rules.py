@@ -6,6 +6,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from focalis import catalog
 from focalis.functions import items as I
 from focalis.operators import datasets, evaluate, lookup, mining, reshape
 from focalis.plans import sweep
@@ -181,3 +182,14 @@ def test_fpgrowth_by_digits_of_weights(spark):
     assert not mining.mine_with_fpgrowth(whole.limit(0), 1, 0.1).collect()
     huge = whole.withColumn("w", F.col("w") * 1_000_000_000)
     assert text(mining.mine_with_fpgrowth(huge, 4000, 0.1)) == text(mining.mine_rules(huge, 4000, 0.1))
+
+
+def test_sampled_lines_meet_orders_after_the_draw(spark, tmp_path):
+    """The same lines as drawn from all, also where few of the first drawn have an order; only those are broadcast to the orders."""
+    for t in ("orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").filter("o_orderkey % 7 = 0" if t == "orders" else "true").write.parquet(f"{tmp_path}/{t}.parquet")
+    key = lambda df: sorted((r.l_orderkey, r.l_linenumber, r.o_orderpriority) for r in df.collect())
+    want = key(datasets.sample_fixed(catalog.lines(spark, str(tmp_path)), 20, by=["l_orderkey", "l_linenumber"]))
+    for first in (1000, 20, 0):
+        assert key(catalog.sampled_lines(spark, str(tmp_path), 20, first)) == want
+    assert "lineitem" not in str(catalog.sampled_lines(spark, str(tmp_path), 20).inputFiles())
