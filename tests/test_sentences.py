@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from focalis.operators import features, paths
 
 SF = "/root/testdata/sf0.001"
-SHUFFLES = {"query_candidates": 2, "training_features": 2, "path_graph": 1, "shortest_paths": 1, "all_target_paths": 1, "edge_positions": 1}
+SHUFFLES = {"query_candidates": 2, "training_features": 2, "path_graph": 1, "shortest_paths": 1, "all_target_paths": 1, "edge_positions": 1, "direct_dependency": 1}
 
 
 @pytest.mark.parametrize("name", SHUFFLES)
